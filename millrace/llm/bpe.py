@@ -27,6 +27,8 @@ from millrace.llm.common import SLICE_BYTES, sliced, table
 
 #: Distinct words whose encodings a worker keeps at a time.
 KEPT_WORDS = 400_000
+#: Distinct words under one index; their arrays stay in the CPU's cache.
+INDEX_WORDS = 40000
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -262,30 +264,40 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._hash, self._check, self._row = (np.zeros(0, np.uint64) for _ in range(3))
+        self._new: list[bytes] = []
+        self._hash, self._check, self._row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self._ids, self._counts, self._starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        ids, counts = encode_words(self.vocab, words)
-        self._ids, self._counts = np.concatenate((self._ids, ids)), np.concatenate((self._counts, counts))
-        self._starts = np.cumsum(self._counts) - self._counts
+    def _learn(self) -> None:
+        """Encodes the words met since the last call, all under one index."""
+        if self._new:
+            ids, counts = encode_words(self.vocab, self._new)
+            self._ids, self._counts = np.concatenate((self._ids, ids)), np.concatenate((self._counts, counts))
+            self._starts = np.cumsum(self._counts) - self._counts
+            self._new = []
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts in a row, and the number of ids of each text."""
+    def encode(self, slices: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each list of texts the token ids of all in a row, and each text's number of ids."""
         if len(self._hash) > KEPT_WORDS:
             self._forget()
-        odd = [i for i, x in enumerate(texts) if _BEYOND_LATIN.search(x) or self._special is not None and self._special.search(x)]
-        if not odd:
-            return self._latin(texts)
-        skip = set(odd)
-        ids, counts = self._latin(["" if i in skip else x for i, x in enumerate(texts)])
-        parts, done = [], 0
-        ends = np.cumsum(counts)
-        for i in odd:
-            parts.append(ids[done : ends[i]])
-            parts.append(self._any(texts[i]))
-            counts[i], done = len(parts[-1]), ends[i]
-        return np.concatenate([*parts, ids[done:]]), counts
+        held = []
+        for texts in slices:
+            odd = {i for i, x in enumerate(texts) if _BEYOND_LATIN.search(x) or self._special is not None and self._special.search(x)}
+            held.append((odd, *self._latin(["" if i in odd else x for i, x in enumerate(texts)] if odd else texts)))
+        self._learn()
+        for texts, (odd, row, words) in zip(slices, held, strict=True):
+            n = self._counts[row]
+            done = np.concatenate(([0], np.cumsum(n)))
+            ids = self._ids[np.repeat(self._starts[row] - done[:-1], n) + np.arange(done[-1])]
+            ends = done[np.cumsum(words)]
+            counts = np.diff(ends, prepend=0)
+            if odd:
+                parts, at = [], 0
+                for i in sorted(odd):
+                    parts += [ids[at : ends[i]], self._any(texts[i])]
+                    counts[i], at = len(parts[-1]), ends[i]
+                ids = np.concatenate([*parts, ids[at:]])
+            yield ids, counts
 
     def _any(self, text: str) -> np.ndarray:
         """Ids of one text with any characters and special tokens."""
@@ -298,6 +310,7 @@ class Encoder:
         return np.concatenate(out)
 
     def _latin(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word in the order of the texts, and each text's words."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         joined = "".join(texts)
         if not joined:
@@ -310,29 +323,24 @@ class Encoder:
         end = np.append(start[1:], len(chars))
         one, two = self._words.hashed(chars, start, end)
         values, example, which = np.unique(one, return_index=True, return_inverse=True)
-        if (two != two[example][which]).any():  # two words of one hash: each text by itself
-            rows = [self._any(x) for x in texts]
-            return np.concatenate(rows), np.array([len(x) for x in rows], np.int64)
-        at = np.searchsorted(self._hash, values)
-        near = np.minimum(at, max(len(self._hash) - 1, 0))
-        known = (self._hash[near] == values) & (self._check[near] == two[example]) if len(self._hash) else np.zeros(len(values), bool)
+        if (two != two[example][which]).any():
+            raise ValueError("two words have one 64-bit hash")
+        near = np.minimum(np.searchsorted(self._hash, values), max(len(self._hash) - 1, 0))
+        known = self._hash[near] == values if len(self._hash) else np.zeros(len(values), bool)
+        if (self._check[near[known]] != two[example][known]).any():
+            raise ValueError("two words have one 64-bit hash")
+        row = np.empty(len(values), np.int32)
+        row[known] = self._row[near[known]] if len(self._hash) else 0
         new = np.flatnonzero(~known)
-        row = np.empty(len(values), np.int64)
-        if len(self._hash):
-            row[known] = self._row[near[known]]
-        row[new] = len(self._counts) + np.arange(len(new))
         if len(new):
-            self._learn([joined[a:b].encode() for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)])
-            order = np.argsort(np.concatenate((self._hash, values[new])), kind="stable")
-            self._hash = np.concatenate((self._hash, values[new]))[order]
+            row[new] = len(self._counts) + len(self._new) + np.arange(len(new))
+            self._new += [joined[a:b].encode() for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)]
+            merged = np.concatenate((self._hash, values[new]))
+            order = np.argsort(merged, kind="stable")
+            self._hash = merged[order]
             self._check = np.concatenate((self._check, two[example[new]]))[order]
-            self._row = np.concatenate((self._row.astype(np.int64), row[new]))[order]
-        row = row[which]
-        n = self._counts[row]
-        done = np.concatenate(([0], np.cumsum(n)))
-        ids = self._ids[np.repeat(self._starts[row] - done[:-1], n) + np.arange(done[-1])]
-        until = done[np.searchsorted(start, ends)]
-        return ids, np.diff(until, prepend=0)
+            self._row = np.concatenate((self._row, row[new]))[order]
+        return row[which], np.diff(np.searchsorted(start, ends), prepend=0)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The text of each run of ids; bytes that are not UTF-8 become U+FFFD."""
@@ -343,6 +351,18 @@ class Encoder:
         return [flat[a:b].decode("utf-8", "replace") for a, b in zip(until[:-1], until[1:], strict=True)]
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(vocab) -> Encoder:
+    """The encoder of a broadcast vocabulary, kept for the tasks that follow in this worker."""
+    key = id(vocab.value)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocab.value)
+    return _ENCODERS[key]
+
+
 def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", decode: bool = True) -> DataFrame:
     """``df`` with ``ids`` (little-endian unsigned 32-bit, as binary), ``n_tokens`` and ``decoded``.
 
@@ -360,17 +380,18 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", de
     schema = T.StructType([*given.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab.value)
+        encoder = _encoder(vocab)
         for whole in batches:
             texts = pc.fill_null(whole.column(at).cast(pa.string()), "")
-            for start, end in sliced(texts, SLICE_BYTES // 2):
-                ids, counts = encoder.encode(texts.slice(start, end - start).to_pylist())
-                flat, until = ids.astype("<u4").tobytes(), (4 * np.concatenate(([0], np.cumsum(counts)))).tolist()
-                new = [pa.array([flat[a:b] for a, b in zip(until[:-1], until[1:], strict=True)], pa.binary()), pa.array(counts, pa.int64())]
-                if decode:
-                    new.append(pa.array(encoder.decode(ids, counts), pa.string()))
-                part = whole.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f.name for f in added)])
+            for low, high in sliced(texts, INDEX_BYTES):
+                spans = [(low + a, low + b) for a, b in sliced(texts.slice(low, high - low), SLICE_BYTES // 2)]
+                for (start, end), (ids, counts) in zip(spans, encoder.encode([texts.slice(a, b - a).to_pylist() for a, b in spans]), strict=True):
+                    flat, until = ids.astype("<u4").tobytes(), (4 * np.concatenate(([0], np.cumsum(counts)))).tolist()
+                    new = [pa.array([flat[a:b] for a, b in zip(until[:-1], until[1:], strict=True)], pa.binary()), pa.array(counts, pa.int64())]
+                    if decode:
+                        new.append(pa.array(encoder.decode(ids, counts), pa.string()))
+                    part = whole.slice(start, end - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f.name for f in added)])
 
     return given.mapInArrow(run, schema)
 
