@@ -27,8 +27,8 @@ from millrace.llm.common import SLICE_BYTES, sliced, table
 
 #: Distinct words whose encodings a worker keeps at a time.
 KEPT_WORDS = 400_000
-#: Distinct words under one index; their arrays stay in the CPU's cache.
-INDEX_WORDS = 40000
+#: Bytes of text whose words come under one index.
+INDEX_BYTES = 4 * SLICE_BYTES
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")

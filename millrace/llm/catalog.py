@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe
+from millrace.llm import bpe, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": bpe.op6_bpe}
+    return {
+        "op6_bpe": bpe.op6_bpe,
+        "op10_secrets": secrets.op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
