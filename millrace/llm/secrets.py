@@ -113,6 +113,14 @@ def _candidates(text: Column) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:bigint,run:string>>"))
 
 
+def _kind(spans: str, number: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end")))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``secrets``: array<struct<start, kind, end>> in the order of start, then kind.
 
@@ -134,7 +142,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     high = F.transform(F.filter(measured, lambda m: m["w"]["first"].isNotNull()), lambda m: F.struct((m["start"] + m["w"]["first"]).cast("bigint").alias("start"), (m["start"] + m["w"]["last"]).cast("bigint").alias("end")))
     extra = F.when(F.size("__runs") > 0, F.filter(high, lambda s: ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(F.array().cast(_SPAN))
     found = found.withColumn("__entropy", extra)
-    named = [F.transform(f"__{k}", lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))) for i, k in enumerate(KINDS)]
+    named = [_kind(f"__{k}", i) for i, k in enumerate(KINDS)]
     out = F.transform(F.array_sort(F.concat(*named)), lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["end"].alias("end")))
     return found.select(*keep, out.alias("secrets"))
 
@@ -162,5 +170,4 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["kind"] != KINDS[3])
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *map(_count, KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
