@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, secrets
+from millrace.llm import bpe, licenses, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_licenses": licenses.op3_licenses,
         "op6_bpe": bpe.op6_bpe,
         "op10_secrets": secrets.op10_secrets,
     }
