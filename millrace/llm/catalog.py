@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, licenses, secrets
+from millrace.llm import bpe, chat, licenses, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_licenses": licenses.op3_licenses,
         "op6_bpe": bpe.op6_bpe,
+        "op7_chat": chat.op7_chat,
         "op10_secrets": secrets.op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat": chat.OP7_SQL}
