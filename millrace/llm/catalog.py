@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, licenses, secrets
+from millrace.llm import bpe, chat, licenses, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
         "op3_licenses": licenses.op3_licenses,
         "op6_bpe": bpe.op6_bpe,
         "op7_chat": chat.op7_chat,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
     }
 
