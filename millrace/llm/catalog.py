@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, licenses, quality, secrets, toxicity
+from millrace.llm import bpe, chat, licenses, neighbours, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_licenses": licenses.op3_licenses,
         "op6_bpe": bpe.op6_bpe,
         "op7_chat": chat.op7_chat,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
     }
