@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, licenses, neighbours, quality, secrets, toxicity
+from millrace.llm import bpe, chat, decontaminate, licenses, neighbours, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_licenses": licenses.op3_licenses,
         "op6_bpe": bpe.op6_bpe,
         "op7_chat": chat.op7_chat,
