@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, decontaminate, licenses, neighbours, quality, secrets, substrings, toxicity
+from millrace.llm import bpe, chat, decontaminate, jaccard, licenses, neighbours, quality, secrets, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_licenses": licenses.op3_licenses,
+        "op4_jaccard": jaccard.op4_jaccard,
         "op5_substrings": substrings.op5_substrings,
         "op6_bpe": bpe.op6_bpe,
         "op7_chat": chat.op7_chat,
