@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpointed, sliced, table, units
@@ -232,61 +232,126 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked, and links found beside them.
 
     The texts of the pairs' documents travel once for each document ``b`` they are verified
-    against, those against one ``b`` in as many parts as their number asks for; equal ids
-    are rows with one text.
+    against, those against one ``b`` in as many parts as their number asks for. Of texts
+    of one id the smallest counts.
     """
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(pairs.select("a", "b"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        texts = docs.join(F.broadcast(ids), "id")
-    else:
-        texts = docs.join(ids, "id")
-    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
     members = pairs.join(parts, "b").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     hubs = parts.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    stars = members.union(hubs).join(texts, "id")
-
-    def check(rows: pa.Table) -> pa.Table:
-        hub = rows["hub"][0].as_py()
-        ids_ = rows["id"].to_pylist()
-        h, n = shingles(rows["text"].to_pylist())
-        sets = dict(zip(ids_, np.split(h, np.cumsum(n)[:-1]), strict=True))
-        found, apart = [], []
-        for i in sorted(sets):
-            if i != hub:
-                (found if _linked(sets[i], sets[hub]) else apart).append(i)
-        links = [(i, hub) for i in found]
-        if apart:  # they may be linked to each other or to those that are
-            every = sorted(set(sets) - {hub})
-            flat = np.concatenate([sets[i] for i in every])
-            sizes = np.array([len(sets[i]) for i in every])
-            begin = np.concatenate(([0], np.cumsum(sizes)))
-            for i in apart:
-                inside = np.concatenate(([0], np.cumsum(np.isin(flat, sets[i]))))
-                both = inside[begin[1:]] - inside[begin[:-1]]
-                hit = np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (sizes + len(sets[i]) - both))
-                links += [(i, every[k]) for k in hit.tolist() if every[k] != i]
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
-
-    return stars.groupBy("hub", "part").applyInArrow(check, "a long, b long")
-
-
-def _apart(rows: pa.Table) -> pa.Table:
-    """Pairs of a group whose components differ and whose sketches allow a link."""
-    ids, part, n = (rows[c].to_numpy() for c in ("id", "component", "n"))
-    bits = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
-    a, b = [], []
-    for i in range(len(ids) - 1):
-        later = slice(i + 1, None)
-        ok = (part[later] != part[i]) & (np.minimum(n[later], n[i]) * DENOMINATOR >= np.maximum(n[later], n[i]) * NUMERATOR)
-        at = np.flatnonzero(ok) + i + 1
-        if len(at):
-            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1) <= difference(n[at], n[i])]
-            a.append(np.maximum(ids[at], ids[i]))
-            b.append(np.minimum(ids[at], ids[i]))
-    none = [np.zeros(0, np.int64)]
-    return pa.table({"a": pa.array(np.concatenate(none + a), pa.int64()), "b": pa.array(np.concatenate(none + b), pa.int64())})
+    stars = members.union(hubs).join(texts, "id").repartition("hub", "part").sortWithinPartitions("hub", "part")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _runs(batches, ("hub", "part")):
+            links: list[tuple[int, int]] = []
+            for low, high in _slices(whole, ("hub", "part")):
+                links += _star(whole.slice(low, high - low))
+            yield _pairs([x for x, _ in links], [x for _, x in links])
+
+    return stars.select("hub", "part", "id", "text").mapInArrow(check, "a long, b long")
+
+
+def _star(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Links of a hub with its members, and of members without one with all others."""
+    hub = rows.column("hub")[0].as_py()
+    texts: dict[int, str] = {}
+    for i, t in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+        texts[i] = min(t or "", texts.get(i, t or ""))
+    every = sorted(texts)
+    h, n = shingles([texts[i] for i in every])
+    sets = dict(zip(every, np.split(h, np.cumsum(n)[:-1]), strict=True))
+    links = [(i, hub) for i in every if i != hub and _linked(sets[i], sets[hub])]
+    apart = sorted(set(every) - {hub} - {i for i, _ in links})
+    if apart and len(every) > 2:
+        begin = np.concatenate(([0], np.cumsum(n)))
+        for i in apart:
+            inside = np.concatenate(([0], np.cumsum(np.isin(h, sets[i]))))
+            both = inside[begin[1:]] - inside[begin[:-1]]
+            hit = np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (n + len(sets[i]) - both))
+            links += [(i, every[k]) for k in hit.tolist() if every[k] != i]
+    return links
+
+
+def _pairs(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _bounds(rows: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for k in keys:
+        x = rows.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _slices(rows: pa.RecordBatch, keys: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    at = _bounds(rows, keys).tolist()
+    return zip(at, [*at[1:], len(rows)], strict=True)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches that end where a run of equal keys ends, of sorted rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        if held and all(held[-1].column(k)[-1] == b.column(k)[0] for k in keys) and len(_bounds(b, keys)) == 1:
+            held.append(b)
+            continue
+        whole = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+        last = int(_bounds(whole, keys)[-1])
+        if last:
+            yield whole.slice(0, last)
+        held = [whole.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _sketch_rows(rows: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)
+
+
+def _near(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Whether sizes and the distance of sketches allow a link."""
+    return (np.minimum(n, m) * DENOMINATOR >= np.maximum(n, m) * NUMERATOR) & (distance <= difference(n, m))
+
+
+def _to_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance) of each group's members and its first one, where a link is possible."""
+    for rows in _runs(batches, ("gid",)):
+        at = _bounds(rows, ("gid",))
+        ids, n, bits = rows.column("id").to_numpy(), rows.column("n").to_numpy(), _sketch_rows(rows)
+        hub = np.repeat(at, np.diff(at, append=len(rows)))
+        distance = np.bitwise_count(bits ^ bits[hub]).sum(1).astype(np.int64)
+        ok = _near(n, n[hub], distance) & (ids != ids[hub])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(ids[hub][ok]), pa.array(distance[ok])], ["a", "b", "distance"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance) of all members of a group in different components, where a link is possible."""
+    for rows in _runs(batches, ("gid",)):
+        ids, part, n, bits = rows.column("id").to_numpy(), rows.column("component").to_numpy(), rows.column("n").to_numpy(), _sketch_rows(rows)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        at = _bounds(rows, ("gid",))
+        end = np.append(at[1:], len(rows))
+        two = np.flatnonzero(end - at == 2)
+        jobs = [(at[two], at[two] + 1)]
+        for low, high in zip(at.tolist(), end.tolist(), strict=True):
+            if high - low > 2:
+                jobs += [(np.full(high - i - 1, i), np.arange(i + 1, high)) for i in range(low, high - 1)]
+        for i, j in jobs:
+            apart = part[i] != part[j]
+            i, j = i[apart], j[apart]
+            if len(i):
+                distance = np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)
+                ok = _near(n[i], n[j], distance)
+                for o, x in zip(out, (np.maximum(ids[i], ids[j])[ok], np.minimum(ids[i], ids[j])[ok], distance[ok]), strict=True):
+                    o.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["a", "b", "distance"])
 
 
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,38 +360,52 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``component_id`` is the smallest id that links reach. Words are what stands between
     ASCII white space, in lower case (A-Z); a set holds the distinct runs of ``WORDS`` words,
     or the one run of all words of a shorter text. Null and empty texts have no shingles and
-    link with nothing. Rows of one id and equal text are told apart by nothing and give equal
-    rows; rows of one id with different texts count as one document of the smallest text. A
-    row without an id is given back with a null component. Texts are hashed in place; what
-    is shuffled are keys, 13 bytes for about two shingles, the sketches of groups that stay
-    apart, and the texts of documents to verify.
+    link with nothing. Repeated rows give equal rows; of rows of one id with different texts
+    the smallest text is verified. A row without an id is given back with a null component.
+    Texts are hashed in place; what is shuffled are keys, 13 bytes for about two shingles,
+    sketches of documents that have a key in common, and the texts of documents to verify.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = docs.filter("id IS NOT NULL")
-    measured = checkpointed(docs.filter("id IS NOT NULL").mapInArrow(_measure, "id long, n long, one long, two long, sketch binary"))
+    columns = "id long, n long, one long, two long, sketch binary"
+    measured = checkpointed(known.mapInArrow(_measure, columns))
     some = measured.filter("n > 0")
     # Equal sets: the smallest id stands for all.
     first = some.groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
-    reps = checkpointed(some.select("id", "one", "two", "n").distinct().join(first, ["one", "two", "n"]).select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep")))
-    groups = _candidates(known, units(docs, least=LEAST_UNITS)).join(reps, "id").select("gid", F.col("rep").alias("id")).distinct()
-    groups = checkpointed(groups)
-    hubs = groups.groupBy("gid").agg(F.min("id").alias("hub"))
-    met = groups.join(hubs, "gid").filter("id <> hub").groupBy("id", "hub").count()
-    best = met.groupBy("id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-    copies = reps.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = checkpointed(_verify(known, best.select(F.col("id").alias("a"), F.col("hub").alias("b"))))
+    reps = checkpointed(some.select("id", "one", "two", "n").join(first, ["one", "two", "n"]).groupBy("id").agg(F.min("rep").alias("rep")))
+    groups = checkpointed(_candidates(known, units(docs, least=LEAST_UNITS)).join(reps, "id").select("gid", F.col("rep").alias("id")).distinct())
+    # Of groups of the same documents one is enough.
+    marks = groups.groupBy("gid").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("low"), F.max("id").alias("high")).filter("m > 1")
+    chosen = marks.groupBy("m", "x", "low", "high").agg(F.min("gid").alias("gid")).select("gid")
+    sketch = some.select("id", "n", "sketch").join(reps.filter("id = rep").select("id"), "id").dropDuplicates(["id"])
+    groups = checkpointed(groups.join(chosen, "gid").join(sketch, "id").select("gid", "id", "n", "sketch"))
+    to_hubs = groups.repartition("gid").sortWithinPartitions("gid", "id").mapInArrow(_to_hubs, "a long, b long, distance long")
+    best = to_hubs.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
+    links = checkpointed(_verify(known, best))
     parts = components(links)
     # Groups that still have several components: all pairs across them that sketches allow.
-    placed = groups.join(parts, "id", "left").select("gid", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid")
-    rest = checkpointed(placed.join(open_, "gid"))
-    if rest.limit(1).count():
-        sketch = measured.select("id", "n", "sketch").groupBy("id").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-        pairs = rest.join(sketch, "id").groupBy("gid").applyInArrow(_apart, "a long, b long").distinct()
-        links = checkpointed(links.union(_verify(known, pairs)))
+    placed = groups.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid")
+    rest = placed.join(apart, "gid").select("gid", "id", "component", "n", "sketch").repartition("gid").sortWithinPartitions("gid", "id")
+    pairs = checkpointed(rest.mapInArrow(_across, "a long, b long, distance long").distinct())
+    # One link joins two components: the nearest pairs of each two are verified first, then more, then all.
+    most = 1
+    while True:
+        ends = [parts.select(F.col("id").alias(c), F.col("component").alias(f"p{c}")) for c in ("a", "b")]
+        open_ = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").withColumns({"pa": F.coalesce("pa", "a"), "pb": F.coalesce("pb", "b")}).filter("pa <> pb")
+        two = Window.partitionBy(F.least("pa", "pb"), F.greatest("pa", "pb")).orderBy("distance", "a", "b")
+        open_ = checkpointed(open_.select("a", "b", "distance", F.row_number().over(two).alias("k")))
+        if not open_.limit(1).count():
+            break
+        links = checkpointed(links.union(_verify(known, open_.filter(F.col("k") <= most))))
+        pairs = open_.filter(F.col("k") > most).select("a", "b", "distance")
+        parts = components(links)
+        most *= 8
+    copies = reps.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     parts = components(links.union(copies))
     out = measured.select("id", F.col("n").alias("n_shingles")).join(parts, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.unionByName(docs.filter("id IS NULL").mapInArrow(_measure, "id long, n long, one long, two long, sketch binary").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
+    lost = docs.filter("id IS NULL").mapInArrow(_measure, columns)
+    return out.unionByName(lost.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
