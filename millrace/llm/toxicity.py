@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import table
+from millrace.llm.common import checkpointed, table
 from millrace.llm.labelled import SAMPLE_ROWS, held_out, sample
 
 BUCKET_BITS = 20
@@ -85,28 +85,17 @@ def _sums(flat: np.ndarray, n: np.ndarray, bias: float, w: np.ndarray, v: np.nda
     return bias + s[:, 0] + 0.5 * (s[:, 1 : 1 + k] ** 2 - s[:, 1 + k :]).sum(1), s[:, 1 : 1 + k]
 
 
-def fit(rows: list[set[int]], y: np.ndarray, epochs: int = 60, rate: float = 0.1, l2: float = 2e-5, seed: int = 7) -> Machine:
-    """A machine for bucket sets and labels, by AdaGrad on the log loss, row blocks in a fixed order.
+def fit(kept: np.ndarray, rows: list[np.ndarray], y: np.ndarray, epochs: int = 60, rate: float = 0.1, l2: float = 2e-5, seed: int = 7) -> Machine:
+    """A machine for rows of positions in ``kept`` and labels, by AdaGrad on the log loss, row blocks in a fixed order.
 
     Without rows of both labels the machine always gives the share of label 1.
     """
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 1e-3
     prior = float(np.log(share / (1 - share)))
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max() or not len(kept):
         return Machine(np.zeros(0, np.int64), prior, np.zeros(0), np.zeros((0, FACTORS)))
     n = np.array([len(r) for r in rows])
-    flat = np.fromiter((b for r in rows for b in sorted(r)), np.int64, int(n.sum()))
-    owner = np.repeat(np.arange(len(rows)), n)
-    with_, hits = np.bincount(flat, minlength=1 << BUCKET_BITS), np.bincount(flat, weights=y[owner], minlength=1 << BUCKET_BITS)
-    expected = with_ * y.mean()
-    gain = np.where(with_ >= 4, np.abs(hits - expected) / np.sqrt(expected * (1 - y.mean()) + 1e-9), 0)
-    kept = np.sort(np.argsort(-gain, kind="stable")[:KEPT_BUCKETS])
-    kept = kept[gain[kept] > LEAST_GAIN]
-    place = np.full(1 << BUCKET_BITS, -1, np.int64)
-    place[kept] = np.arange(len(kept))
-    ok = place[flat] >= 0
-    flat, owner = place[flat[ok]], owner[ok]
-    n = np.bincount(owner, minlength=len(rows))
+    flat = np.concatenate([np.zeros(0, np.int64), *rows])
     starts = np.cumsum(n) - n
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS)), prior
@@ -132,15 +121,35 @@ def fit(rows: list[set[int]], y: np.ndarray, epochs: int = 60, rate: float = 0.1
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, left: int = 1, rows: int = SAMPLE_ROWS) -> Machine:
-    """A machine for the labelled documents that are not held out, ``rows`` of them at most."""
+    """A machine for the labelled documents that are not held out, ``rows`` of them at most.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Buckets are counted and chosen in the cluster; the driver gets the chosen ones and, for
+    each row, which of them it has.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, tuple[int, ...]] = {}
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(buckets(x, memo)) for x in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["doc_id", "b", "y"])
 
-    got = sample(docs, labels, label, parts, left, rows).mapInArrow(run, "doc_id long, b array<int>, y double").toArrow().sort_by("doc_id")
-    return fit([set(x) for x in got["b"].to_pylist()], got["y"].to_numpy())
+    sets = checkpointed(sample(docs, labels, label, parts, left, rows).mapInArrow(hashed, "doc_id long, b array<int>, y double"))
+    mean = sets.agg(F.avg("y")).first()[0] or 0.0
+    expected = F.col("n") * F.lit(float(mean))
+    counts = sets.select(F.explode("b").alias("b"), "y").groupBy("b").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).filter("n >= 4")
+    gains = counts.select("b", (F.abs(F.col("hits") - expected) / F.sqrt(expected * (1 - mean) + 1e-9)).alias("gain")).filter(F.col("gain") > LEAST_GAIN)
+    kept = np.sort(np.array([r["b"] for r in gains.orderBy(F.desc("gain"), "b").limit(KEPT_BUCKETS).collect()], np.int64))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for x in b.column(1):
+                v = np.asarray(x.values, np.int64)
+                at = np.searchsorted(kept, v)
+                found.append(at[(at < len(kept)) & (kept[np.minimum(at, max(len(kept) - 1, 0))] == v)] if len(kept) else at[:0])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2)], ["doc_id", "b", "y"])
+
+    got = sets.mapInArrow(placed, "doc_id long, b array<int>, y double").toArrow().sort_by("doc_id")
+    return fit(kept, [np.asarray(x.values, np.int64) for x in got["b"]], got["y"].to_numpy())
 
 
 def score(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
