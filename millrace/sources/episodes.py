@@ -39,8 +39,9 @@ def read_lerobot(spark: SparkSession, roots: str | Sequence[str], skip_malformed
         mark = [F.lit(root).alias("root"), F.lit(k).alias("root_number")]
         episodes = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/meta/episodes").select("*", *mark)
         frames = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
-        place = F.regexp_extract("_metadata.file_path", r"chunk-(\d+)/file-(\d+)", 1).cast("int"), F.regexp_extract("_metadata.file_path", r"chunk-(\d+)/file-(\d+)", 2).cast("int")
-        frames = frames.select("*", place[0].alias("data/chunk_index"), place[1].alias("data/file_index"), *mark)
+        # A file's numbers are in its path; Spark's own part files all count as file 0.
+        chunk, file = (F.coalesce(F.regexp_extract("_metadata.file_path", p, 1).try_cast("int"), F.lit(0)) for p in (r"chunk-(\d+)/", r"/file-(\d+)"))
+        frames = frames.select("*", chunk.alias("data/chunk_index"), file.alias("data/file_index"), *mark)
         parts.append((episodes, frames, spark.read.parquet(f"{root}/meta/tasks.parquet").select("task", "task_index", *mark)))
     episodes, frames, tasks = parts[0]
     for e, f, t in parts[1:]:

@@ -88,7 +88,7 @@ def read_csv(spark: SparkSession, inputs: Inputs, multiline_rows: bool = False,
 
 def read_jsonl(spark: SparkSession, inputs: Inputs, file_path_column: str | None = "file_path", dtypes: Mapping[str, Any] | None = None, schema: T.StructType | None = None, identity: bool = False) -> Dataset:
     """One JSON object a line; a line that is none is an error."""
-    df = _load(spark, "json", inputs, (".jsonl", ".ndjson", ".jsonl.gz"), schema, mode="FAILFAST")
+    df = _load(spark, "json", inputs, (".jsonl", ".ndjson", ".jsonl.gz", ".json", ".json.gz"), schema, mode="FAILFAST")
     return _finish(df, "read_jsonl", file_path_column, dtypes, identity)
 
 
