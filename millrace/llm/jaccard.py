@@ -33,6 +33,8 @@ HASH_BYTES = 2 << 20
 STAR_ROWS = 256
 #: Ids of documents to verify that are broadcast at most; more are shuffled.
 BROADCAST_IDS = 500_000
+#: Pairs of two components that are verified in the first rounds; None: all that are left.
+FIRST_PAIRS = (1, 16, None)
 #: Fewest units, so that small inputs spread too.
 LEAST_UNITS = 48
 
@@ -381,7 +383,8 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = checkpointed(groups.join(chosen, "gid").join(sketch, "id").select("gid", "id", "n", "sketch"))
     to_hubs = groups.repartition("gid").sortWithinPartitions("gid", "id").mapInArrow(_to_hubs, "a long, b long, distance long")
     best = to_hubs.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
-    links = checkpointed(_verify(known, best))
+    copies = reps.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = checkpointed(_verify(known, best).union(copies))
     parts = components(links)
     # Groups that still have several components: all pairs across them that sketches allow.
     placed = groups.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -389,20 +392,17 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = placed.join(apart, "gid").select("gid", "id", "component", "n", "sketch").repartition("gid").sortWithinPartitions("gid", "id")
     pairs = checkpointed(rest.mapInArrow(_across, "a long, b long, distance long").distinct())
     # One link joins two components: the nearest pairs of each two are verified first, then more, then all.
-    most = 1
-    while True:
+    for most in FIRST_PAIRS:
         ends = [parts.select(F.col("id").alias(c), F.col("component").alias(f"p{c}")) for c in ("a", "b")]
         open_ = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").withColumns({"pa": F.coalesce("pa", "a"), "pb": F.coalesce("pb", "b")}).filter("pa <> pb")
         two = Window.partitionBy(F.least("pa", "pb"), F.greatest("pa", "pb")).orderBy("distance", "a", "b")
         open_ = checkpointed(open_.select("a", "b", "distance", F.row_number().over(two).alias("k")))
         if not open_.limit(1).count():
             break
-        links = checkpointed(links.union(_verify(known, open_.filter(F.col("k") <= most))))
-        pairs = open_.filter(F.col("k") > most).select("a", "b", "distance")
+        links = checkpointed(links.union(_verify(known, open_ if most is None else open_.filter(F.col("k") <= most))))
         parts = components(links)
-        most *= 8
-    copies = reps.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    parts = components(links.union(copies))
+        if most is not None:
+            pairs = open_.filter(F.col("k") > most).select("a", "b", "distance")
     out = measured.select("id", F.col("n").alias("n_shingles")).join(parts, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     lost = docs.filter("id IS NULL").mapInArrow(_measure, columns)
     return out.unionByName(lost.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))

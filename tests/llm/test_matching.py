@@ -124,9 +124,10 @@ def test_keys_are_shared_by_linked_sets():
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 99), (99, 98), (7, 7), (None, 3)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), 98: 98, 99: 98, 100: 98}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for most in (0, 1000):  # by rounds, and in one task
+        got = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long"), most).collect()}
+        assert got == {**dict.fromkeys(range(41), 0), 98: 98, 99: 98, 100: 98}
+        assert components(spark.createDataFrame([], "a long, b long"), most).count() == 0
 
 
 def without_repeats(rows):
