@@ -197,29 +197,30 @@ def repeated(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(7):
         key = key << _U(9) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     for size in (7, 14, 28):
         sorted_key = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate(([1], sorted_key[1:] != sorted_key[:-1]))).astype(np.uint64)
         key = rank << _U(32)
         key[:-size] |= rank[size:]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
     suffix = order
 
-    first = s[suffix]
-    bwt = s[suffix - 1]  # the symbol before the suffix; before the first stands the end of the last
+    narrow = s.astype(np.uint16)
+    first = narrow[suffix]
+    bwt = narrow[suffix - 1]  # the symbol before the suffix; before the first stands the end of the last
     # Row of the suffix that is longer by the symbol before, as far as intervals go.
-    step = np.empty(n, np.int64)
-    step[np.argsort(bwt, kind="stable")] = np.arange(n)
-    doc = docs[owner[suffix]]
+    step = np.empty(n, np.int32)
+    step[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
+    doc = np.unique(docs, return_inverse=True)[1].astype(np.int32)[owner[suffix]]  # in the order of the documents
 
     rows = np.arange(n)
     begin = np.zeros(1, np.int64)  # where in rows each interval begins; the empty string has all
-    parent = np.empty(n, np.int64)
+    parent = np.empty(n, np.int32)
     mark = np.zeros(n, bool)
     for _ in range(LENGTH):
-        of = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(rows)))
+        of = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(begin, append=len(rows)))
         real = bwt[rows] > 0
         to = step[rows[real]]
         parent[to] = of[real]
@@ -230,7 +231,8 @@ def repeated(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
             break
         p, f = parent[rows], first[rows]
         begin = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (f[1:] != f[:-1]))))
-        several = np.minimum.reduceat(doc[rows], begin) != np.maximum.reduceat(doc[rows], begin)
+        here = doc[rows]
+        several = np.minimum.reduceat(here, begin) != np.maximum.reduceat(here, begin)
         sizes_ = np.diff(begin, append=len(rows))
         rows = rows[np.repeat(several, sizes_)]
         sizes_ = sizes_[several]
