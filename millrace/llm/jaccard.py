@@ -25,8 +25,8 @@ from millrace.llm.common import checkpointed, sliced, table, units
 from millrace.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: Bits of the dense sketches.
-SKETCH_BITS = 1024
+#: Fewest bits of a dense sketch.
+LEAST_SKETCH_BITS = 1024
 #: Bytes of text hashed at a time in one worker.
 HASH_BYTES = 2 << 20
 #: Documents that are verified against one other in one task.
@@ -150,12 +150,28 @@ def keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([o for o, _ in out]), np.concatenate([k for _, k in out])
 
 
-def sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Dense parity sketches, a row of bytes each."""
-    bits = np.zeros(len(n) * SKETCH_BITS, np.uint8)
-    at = np.repeat(np.arange(len(n)), n) * SKETCH_BITS + (h % _U(SKETCH_BITS)).astype(np.int64)
-    np.bitwise_xor.at(bits, at, np.uint8(1))
-    return np.packbits(bits.reshape(len(n), SKETCH_BITS), axis=1)
+def sketches(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Dense parity sketches of twice as many bits as shingles at least, a power of two of them.
+
+    A sketch folds to fewer bits by XOR of its parts, and stays a parity sketch.
+    """
+    size = np.maximum(LEAST_SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    ends = np.cumsum(size)
+    bits = np.zeros(int(size.sum()), np.uint8)
+    of = np.repeat(np.arange(len(n)), n)
+    np.bitwise_xor.at(bits, (ends - size)[of] + (h & (size[of] - 1).astype(np.uint64)).astype(np.int64), np.uint8(1))
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return [packed[(e - k) // 8 : e // 8] for e, k in zip(ends.tolist(), size.tolist(), strict=True)]
+
+
+def fold(blobs: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of words, folded to ``size`` bytes each."""
+    out = np.empty((len(blobs), size // 8), np.uint64)
+    own = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    for k in np.unique(own).tolist():
+        at = np.flatnonzero(own == k)
+        out[at] = np.bitwise_xor.reduce(np.frombuffer(b"".join(blobs[i] for i in at.tolist()), np.uint64).reshape(len(at), k // size, size // 8), axis=1)
+    return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -173,8 +189,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         also = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h + _ODD[3]))))
         ends = np.cumsum(n)
         one, two = (x[ends] - x[ends - n] for x in (done, also))
-        rows = sketches(h, n)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in rows], pa.binary())], ["id", "n", "one", "two", "sketch"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketches(h, n), pa.binary())], ["id", "n", "one", "two", "sketch"])
 
 
 def _candidates(docs: DataFrame, n_units: int) -> DataFrame:
@@ -313,8 +328,14 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _sketch_rows(rows: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)
+def _by_size(rows: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups whose smallest sketches are of one size, and their sketches folded to it."""
+    at = _bounds(rows, ("gid",))
+    own = np.asarray(pc.binary_length(rows.column("sketch")))
+    least = np.repeat(np.minimum.reduceat(own, at), np.diff(at, append=len(rows))) if len(rows) else own
+    for size in np.unique(least).tolist():
+        some = rows.take(pa.array(np.flatnonzero(least == size)))
+        yield some, fold(some.column("sketch").to_pylist(), size)
 
 
 def _near(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -324,9 +345,9 @@ def _near(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
 
 def _to_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, distance) of each group's members and its first one, where a link is possible."""
-    for rows in _runs(batches, ("gid",)):
+    for rows, bits in (x for whole in _runs(batches, ("gid",)) for x in _by_size(whole)):
         at = _bounds(rows, ("gid",))
-        ids, n, bits = rows.column("id").to_numpy(), rows.column("n").to_numpy(), _sketch_rows(rows)
+        ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
         hub = np.repeat(at, np.diff(at, append=len(rows)))
         distance = np.bitwise_count(bits ^ bits[hub]).sum(1).astype(np.int64)
         ok = _near(n, n[hub], distance) & (ids != ids[hub])
@@ -335,8 +356,8 @@ def _to_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, distance) of all members of a group in different components, where a link is possible."""
-    for rows in _runs(batches, ("gid",)):
-        ids, part, n, bits = rows.column("id").to_numpy(), rows.column("component").to_numpy(), rows.column("n").to_numpy(), _sketch_rows(rows)
+    for rows, bits in (x for whole in _runs(batches, ("gid",)) for x in _by_size(whole)):
+        ids, part, n = rows.column("id").to_numpy(), rows.column("component").to_numpy(), rows.column("n").to_numpy()
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
         at = _bounds(rows, ("gid",))
         end = np.append(at[1:], len(rows))

@@ -86,8 +86,7 @@ def groups_of(docs):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("bits", [1024, 64])
-def test_jaccard(spark, bits):
+def test_jaccard(spark):
     rng = random.Random(1)
     vocabulary = [f"w{k}" for k in range(40)]
     base = [rng.choice(vocabulary) for _ in range(60)]
@@ -102,8 +101,7 @@ def test_jaccard(spark, bits):
     got = jaccard.link_components(df).collect()
     assert len(got) == len(docs)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == groups_of(docs)
-    if bits == 1024:
-        assert jaccard.link_components(df.limit(0)).count() == 0
+    assert jaccard.link_components(df.limit(0)).count() == 0
 
 
 def test_keys_are_shared_by_linked_sets():
@@ -118,7 +116,8 @@ def test_keys_are_shared_by_linked_sets():
             continue
         of, key = jaccard.keys(np.concatenate((a, b)), np.array([len(a), len(b)]))
         assert set(key[of == 0].tolist()) & set(key[of == 1].tolist())
-        x, y = jaccard.sketches(np.concatenate((a, b)), np.array([len(a), len(b)]))
+        both = jaccard.sketches(np.concatenate((a, b)), np.array([len(a), len(b)]))
+        x, y = jaccard.fold(both, min(map(len, both)))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
