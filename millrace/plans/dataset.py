@@ -209,6 +209,11 @@ class Dataset:
 
         return self.with_sink(ZarrSink(output, arrays, attrs or {}, order))
 
+    def write_lance(self, output: str, mode: str = "create") -> Dataset:
+        from millrace.sinks import LanceSink
+
+        return self.with_sink(LanceSink(output, mode))
+
     def write_episodes(self, output: str, **options: Any) -> Dataset:
         from millrace.sinks import EpisodeSink
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions.types import apply_dtypes
 from millrace.sinks.assets import BlobAssets, FileAssets, write_assets
 
-__all__ = ["BlobAssets", "EpisodeSink", "FileAssets", "JsonlSink", "NullSink", "ParquetSink", "ZarrSink", "write_assets"]
+__all__ = ["BlobAssets", "EpisodeSink", "FileAssets", "JsonlSink", "LanceSink", "NullSink", "ParquetSink", "ZarrSink", "write_assets"]
 
 
 def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
@@ -65,6 +65,44 @@ class ParquetSink:
         return {"rows": seen.get["rows"], "output": self.output}
 
 
+@dataclass(frozen=True)
+class LanceSink:
+    """Fragments written by the tasks and committed by the driver at once; needs the library lance."""
+
+    output: str
+    mode: str = "create"
+
+    def write(self, df: DataFrame) -> dict:
+        from millrace.sources.gated import need
+
+        if self.mode not in ("create", "append", "overwrite"):
+            raise ValueError(self.mode)
+        lance = need("lance", "write_lance")
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, output = to_arrow_schema(df.schema), self.output
+
+        def fragments(batches):
+            import pickle
+
+            import lance as lib
+            import pyarrow as pa
+
+            made = lib.fragment.write_fragments(pa.RecordBatchReader.from_batches(schema, batches), output, schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f) for f in made], pa.binary())], ["fragment"])
+
+        import pickle
+
+        df, seen = _counted(df)
+        made = [pickle.loads(r["fragment"]) for r in df.mapInArrow(fragments, "fragment binary").collect()]
+        if self.mode == "append":
+            held = lance.dataset(output)
+            lance.LanceDataset.commit(output, lance.LanceOperation.Append(made), read_version=held.version)
+        else:
+            lance.LanceDataset.commit(output, lance.LanceOperation.Overwrite(schema, made))
+        return {"rows": seen.get["rows"], "output": output}
+
+
 def _put(root: str, files: Mapping[str, bytes]) -> None:
     fs, path = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root.rstrip("/"))
     for name, data in files.items():
