@@ -3,7 +3,8 @@
 The terms of a text are its lower-case words and their beginnings, hashed into a fixed
 number of buckets. The machine adds to the weights of the buckets that a text has the
 inner products of their factors, pair by pair, so that terms which are harmless alone can
-count together.
+count together. Every bucket of the fitted rows has a weight and factors; those that have
+shown little, alone or in a pair, learn more slowly instead of being left out.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import checkpointed, table
+from millrace.llm.common import table
 from millrace.llm.labelled import SAMPLE_ROWS, held_out, sample
 
 BUCKET_BITS = 20
-#: Buckets that the machine has weights for: those that tell the labels apart best.
-KEPT_BUCKETS = 1500
 FACTORS = 8
-#: Standard deviations by which a bucket's label 1 rows must differ from what its rows lead to expect.
-LEAST_GAIN = 4.0
+#: Standard deviations of a bucket's label 1 rows, alone or with another bucket, from which it learns at full rate.
+FULL_GAIN, FULL_PAIR_GAIN = 4.0, 5.0
+#: Power of the share of a full gain by which other buckets learn more slowly.
+SLOWNESS = 4
+#: Pairs are counted of buckets that stand in one of so many rows at least, and in LEAST_PAIR_ROWS of them.
+PAIR_SHARE, LEAST_PAIR_ROWS = 400, 4
+#: Buckets on each side of a block of pairs.
+PAIR_BLOCK = 1024
 #: Weight of a row of label 1 in fitting, which are the fewer.
 TOXIC_WEIGHT = 3.0
 THRESHOLD = 0.7
@@ -61,70 +66,143 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def place(self) -> dict[int, int]:
-        return {b: i for i, b in enumerate(self.kept.tolist())}
+    def place(self) -> np.ndarray:
+        """Positions in ``kept`` by bucket, -1 for none."""
+        out = np.full(1 << BUCKET_BITS, -1, np.int32)
+        out[self.kept] = np.arange(len(self.kept))
+        return out
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         """Probabilities for lists of positions in ``kept``."""
-        n = np.array([len(r) for r in rows])
-        flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-        return _sigmoid(_sums(flat, n, self.bias, self.weights, self.factors)[0])
+        both = np.concatenate((self.weights[:, None], self.factors), axis=1)
+        z = np.empty(len(rows))
+        for i, r in enumerate(rows):
+            x = both[r]
+            s = x.sum(0)
+            z[i] = self.bias + s[0] + 0.5 * ((s[1:] ** 2).sum() - (x[:, 1:] ** 2).sum())
+        return _sigmoid(z)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _sums(flat: np.ndarray, n: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
-    """Each row's output and its sum of factors."""
-    ends = np.cumsum(n)
-    total = np.zeros((len(flat) + 1, 1 + 2 * v.shape[1]))
-    np.cumsum(np.concatenate((w[flat, None], v[flat], v[flat] ** 2), axis=1), axis=0, out=total[1:])
-    s = total[ends] - total[ends - n]
-    k = v.shape[1]
-    return bias + s[:, 0] + 0.5 * (s[:, 1 : 1 + k] ** 2 - s[:, 1 + k :]).sum(1), s[:, 1 : 1 + k]
-
-
-def fit(kept: np.ndarray, rows: list[np.ndarray], y: np.ndarray, epochs: int = 60, rate: float = 0.1, l2: float = 2e-5, seed: int = 7) -> Machine:
+@dataclass
+class _Block:
+    """Rows that are fitted together: the buckets they have and where those stand in them."""
+
+    rows: np.ndarray
+    found: np.ndarray
+    #: For the entries row by row: places in ``found``, and where each row with entries starts.
+    at: np.ndarray
+    starts: np.ndarray
+    full: np.ndarray
+    #: For the entries bucket by bucket: their rows, and where each bucket starts.
+    row: np.ndarray
+    heads: np.ndarray
+
+
+def _block(rows: np.ndarray, given: list[np.ndarray]) -> _Block:
+    n = np.array([len(given[i]) for i in rows])
+    x = np.concatenate([np.zeros(0, np.int32), *(given[i] for i in rows)]).astype(np.int32)
+    order = np.argsort(x, kind="stable")
+    found, heads = np.unique(x[order], return_index=True)
+    at = np.empty(len(x), np.int32)
+    at[order] = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(np.append(heads, len(x))))
+    return _Block(rows, found, at, (np.cumsum(n) - n)[n > 0], n > 0, np.repeat(np.arange(len(rows), dtype=np.int32), n)[order], heads)
+
+
+def fit(kept: np.ndarray, rows: list[np.ndarray], y: np.ndarray, epochs: int = 60, rate: float = 0.1, l2: float = 2e-5, seed: int = 7, pace: np.ndarray | None = None) -> Machine:
     """A machine for rows of positions in ``kept`` and labels, by AdaGrad on the log loss, row blocks in a fixed order.
 
-    Without rows of both labels the machine always gives the share of label 1.
+    There are eight blocks at least, so that few rows make enough steps too. A block moves
+    the buckets that its rows have and no others; ``pace`` (from 0 to 1, else
+    1) multiplies the rate and the first factors of each bucket. Without rows of both labels
+    the machine always gives the share of label 1.
     """
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 1e-3
     prior = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max() or not len(kept):
         return Machine(np.zeros(0, np.int64), prior, np.zeros(0), np.zeros((0, FACTORS)))
-    n = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.zeros(0, np.int64), *rows])
-    starts = np.cumsum(n) - n
     rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS)), prior
-    gw, gv, gb = np.full(len(kept), 1e-6), np.full(v.shape, 1e-6), 1e-6
+    pace = np.ones((len(kept), 1)) if pace is None else pace[:, None]
+    p = np.concatenate((np.zeros((len(kept), 1)), rng.normal(0, 0.05, (len(kept), FACTORS)) * pace), axis=1)  # weight, then factors
+    g, bias, gb = np.full(p.shape, 1e-6), prior, 1e-6
+    blocks = [_block(r, rows) for r in np.array_split(rng.permutation(len(rows)), max(min(8, len(rows)), len(rows) // 256))]
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for block in np.array_split(order, max(1, len(order) // 256)):
-            m = n[block]
-            at = np.repeat(starts[block] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            x, row = flat[at], np.repeat(np.arange(len(block)), m)
-            z, s = _sums(x, m, bias, w, v)
-            e = (_sigmoid(z) - y[block]) * np.where(y[block] > 0, TOXIC_WEIGHT, 1.0) / len(block)
-            db = e.sum()
-            dw = np.bincount(x, weights=e[row], minlength=len(kept)) + l2 * w
-            dv = np.stack([np.bincount(x, weights=e[row] * (s[row, k] - v[x, k]), minlength=len(kept)) for k in range(FACTORS)], axis=1) + l2 * v
-            gw += dw**2
-            gv += dv**2
-            gb += db**2
-            w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
-            bias -= rate * db / np.sqrt(gb)
-    return Machine(kept, float(bias), w, v)
+        for i in rng.permutation(len(blocks)):
+            b = blocks[i]
+            own = p[b.found]
+            s, squares = np.zeros((len(b.rows), 1 + FACTORS)), np.zeros(len(b.rows))
+            if len(b.at):
+                s[b.full] = np.add.reduceat(own[b.at], b.starts, axis=0)
+                squares[b.full] = np.add.reduceat((own[:, 1:] ** 2).sum(1)[b.at], b.starts)
+            z = bias + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(1) - squares)
+            e = (_sigmoid(z) - y[b.rows]) * np.where(y[b.rows] > 0, TOXIC_WEIGHT, 1.0) / len(b.rows)
+            if len(b.at):
+                d = np.add.reduceat(np.concatenate((e[:, None], e[:, None] * s[:, 1:]), axis=1)[b.row], b.heads, axis=0)
+                d[:, 1:] -= d[:, :1] * own[:, 1:]
+                d += l2 * own
+                g[b.found] += d**2
+                p[b.found] = own - rate * pace[b.found] * d / np.sqrt(g[b.found])
+            gb += e.sum() ** 2
+            bias -= rate * e.sum() / np.sqrt(gb)
+    return Machine(kept, float(bias), p[:, 0].copy(), p[:, 1:].copy())
+
+
+def pair_gains(spark: SparkSession, flat: np.ndarray, n: np.ndarray, y: np.ndarray, rate: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """For each position of ``some`` the most standard deviations that a pair with another adds to both label shares.
+
+    ``flat`` has the rows' positions, ``n`` of each, ``rate`` the label share of each
+    position. A pair's label 1 rows count beyond what the larger share of the two and of all
+    rows leads to expect, or short of the smaller. Blocks of pairs are counted in the cluster.
+    """
+    place = np.full(len(rate), -1, np.int32)
+    place[some] = np.arange(len(some))
+    at = place[flat]
+    row, at = np.repeat(np.arange(len(n), dtype=np.int32), n)[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    sent = spark.sparkContext.broadcast((row[order], at[order], y > 0, rate[some].astype(np.float32), np.float32(y.mean())))
+    wide = -(-len(some) // PAIR_BLOCK)
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, at, hit, rate, mean = sent.value
+
+        def dense(k: int) -> np.ndarray:
+            low, high = k * PAIR_BLOCK, min((k + 1) * PAIR_BLOCK, len(rate))
+            a, b = np.searchsorted(at, (low, high))
+            out = np.zeros((len(hit), high - low), np.float32)
+            out[row[a:b], at[a:b] - low] = 1
+            return out
+
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                x, best = dense(i), np.zeros(len(rate), np.float32)
+                for j in range(i, wide):
+                    z = x if j == i else dense(j)
+                    both, hits = x.T @ z, x[hit].T @ z[hit]
+                    mine, other = slice(i * PAIR_BLOCK, (i + 1) * PAIR_BLOCK), slice(j * PAIR_BLOCK, (j + 1) * PAIR_BLOCK)
+                    most = np.maximum(np.maximum(rate[mine, None], rate[None, other]), mean)
+                    least = np.minimum(np.minimum(rate[mine, None], rate[None, other]), mean)
+                    gain = np.maximum((hits - both * most) / np.sqrt(both * most * (1 - most) + 1), (both * least - hits) / np.sqrt(both * least * (1 - least) + 1))
+                    if j == i:
+                        np.fill_diagonal(gain, 0)
+                    best[mine], best[other] = np.maximum(best[mine], gain.max(1)), np.maximum(best[other], gain.max(0))
+                told = np.flatnonzero(best > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(told, pa.int64()), pa.array(best[told].astype(np.float64))], ["at", "gain"])
+
+    out = np.zeros(len(some))
+    if wide:
+        got = spark.range(0, wide, 1, wide).mapInArrow(gains, "at long, gain double").groupBy("at").agg(F.max("gain").alias("gain")).toArrow()
+        out[got["at"].to_numpy()] = got["gain"].to_numpy()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, left: int = 1, rows: int = SAMPLE_ROWS) -> Machine:
     """A machine for the labelled documents that are not held out, ``rows`` of them at most.
 
-    Buckets are counted and chosen in the cluster; the driver gets the chosen ones and, for
-    each row, which of them it has.
+    The driver gets, for each row, which buckets it has; all of them are fitted, by a pace
+    after what they show alone or in pairs.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,24 +210,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(buckets(x, memo)) for x in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["doc_id", "b", "y"])
 
-    sets = checkpointed(sample(docs, labels, label, parts, left, rows).mapInArrow(hashed, "doc_id long, b array<int>, y double"))
-    mean = sets.agg(F.avg("y")).first()[0] or 0.0
-    expected = F.col("n") * F.lit(float(mean))
-    counts = sets.select(F.explode("b").alias("b"), "y").groupBy("b").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).filter("n >= 4")
-    gains = counts.select("b", (F.abs(F.col("hits") - expected) / F.sqrt(expected * (1 - mean) + 1e-9)).alias("gain")).filter(F.col("gain") > LEAST_GAIN)
-    kept = np.sort(np.array([r["b"] for r in gains.orderBy(F.desc("gain"), "b").limit(KEPT_BUCKETS).collect()], np.int64))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for x in b.column(1):
-                v = np.asarray(x.values, np.int64)
-                at = np.searchsorted(kept, v)
-                found.append(at[(at < len(kept)) & (kept[np.minimum(at, max(len(kept) - 1, 0))] == v)] if len(kept) else at[:0])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2)], ["doc_id", "b", "y"])
-
-    got = sets.mapInArrow(placed, "doc_id long, b array<int>, y double").toArrow().sort_by("doc_id")
-    return fit(kept, [np.asarray(x.values, np.int64) for x in got["b"]], got["y"].to_numpy())
+    got = sample(docs, labels, label, parts, left, rows).mapInArrow(hashed, "doc_id long, b array<int>, y double").toArrow().sort_by("doc_id")
+    y, n = got["y"].to_numpy(), pc.list_value_length(got["b"]).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(got["b"]).to_numpy()
+    count = np.bincount(flat, minlength=1 << BUCKET_BITS)
+    kept = np.flatnonzero(count)
+    place = np.zeros(len(count), np.int32)
+    place[kept] = np.arange(len(kept))
+    flat, count = place[flat], count[kept]
+    hits = np.bincount(flat, weights=np.repeat(y, n), minlength=len(kept))
+    pace = np.zeros(len(kept))
+    if len(y) and y.min() < y.max():
+        mean = y.mean()
+        pace = np.abs(hits - count * mean) / np.sqrt(count * mean * (1 - mean) + 1) / FULL_GAIN
+        some = np.flatnonzero(count >= max(LEAST_PAIR_ROWS, len(y) // PAIR_SHARE))
+        pace[some] = np.maximum(pace[some], pair_gains(docs.sparkSession, flat, n, y, hits / count, some) / FULL_PAIR_GAIN)
+    return fit(kept, np.split(flat, np.cumsum(n)[:-1]) if len(n) else [], y, pace=np.minimum(1, pace**SLOWNESS))
 
 
 def score(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
@@ -157,7 +233,7 @@ def score(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
 
     Null and empty texts have no terms and get the score of the bias alone. Whole texts are
     read; repeated rows get equal scores; a column of ``df`` named ``score`` is replaced. The
-    machine is broadcast; ``KEPT_BUCKETS`` bounds its size.
+    machine is broadcast; the number of buckets bounds its size.
     """
     given = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "score"])
     at = given.columns.index(text_col)
@@ -166,11 +242,14 @@ def score(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         place, memo = m.place(), {}
-        keys = place.keys()
         for whole in batches:
             for start in range(0, len(whole), 500):
                 b = whole.slice(start, 500)
-                rows = [np.array(sorted(place[k] for k in keys & buckets(x, memo)), np.int64) for x in pc.cast(b.column(at), pa.string()).to_pylist()]
+                rows = []
+                for x in pc.cast(b.column(at), pa.string()).to_pylist():
+                    got = buckets(x, memo)
+                    found = place[np.fromiter(got, np.int64, len(got))]
+                    rows.append(np.sort(found[found >= 0]))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(rows), pa.float64())], [*b.schema.names, "score"])
 
     return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -68,3 +69,23 @@ def test_odd_inputs(spark):
             got = module.score(df, module.train(df, labels, label)).collect()
             assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
     assert quality.statistics("") == quality.statistics(None)
+
+
+def test_rare_terms_and_pairs_are_fitted(spark):
+    rng = random.Random(4)
+    filler = ["".join(rng.choice("klmnopqrst") for _ in range(4)) for _ in range(300)]
+    rows = []
+    for i in range(900):
+        a, b, rare = rng.random() < 0.5, rng.random() < 0.5, i % 150 == 0
+        words = [*rng.sample(filler, 12), *["blau"] * a, *["gelb"] * b, *["giftig"] * rare]
+        rows.append((i, " ".join(words), int(a != b or rare)))  # neither word of the pair tells anything alone
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    m = toxicity.train(docs, labels)
+    seen = set().union(*(toxicity.buckets(t, {}) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1))
+    assert set(m.kept.tolist()) == seen
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, m).collect()}
+    told = [(got[i] > 0.5) == (y > 0) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(told) >= 0.9 * len(told)
+    few = toxicity.train(docs, labels.filter("doc_id < 60"))
+    assert np.ptp([r["score"] for r in toxicity.score(docs, few).collect()]) > 0.1  # small label sets give more than the prior
