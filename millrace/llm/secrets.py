@@ -38,6 +38,10 @@ ALLOWED = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
 )
 
+#: With ``parts``, what the whole run must be to be no secret, and what excuses only the stretch that has it.
+ALLOWED_RUNS = (*ALLOWED[:2], ALLOWED[3], ALLOWED[4] + "$")
+ALLOWED_STRETCH = ALLOWED[2]
+
 _SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -72,7 +76,7 @@ def _spans(text: Column, pattern: str, keep, *groups: int) -> Column:
 
 
 def _entropy(run: Column) -> Column:
-    """(first, last) of the windows of a run that reach its class's threshold, else nulls.
+    """Spans in a run of the windows that reach its class's threshold, those that touch joined.
 
     ``sum`` is the sum of c * log2(c) over the counts c of the window's characters; one
     character in and one out change two of its terms.
@@ -80,8 +84,7 @@ def _entropy(run: Column) -> Column:
     term = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)))
     least = F.when(run.rlike("^[0-9a-fA-F]*$"), THRESHOLDS["hex"]).when(run.rlike("^[A-Za-z0-9]*$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
     code = lambda i: F.ascii(F.substring(run, i + 1, F.lit(1)))
-    nothing = F.lit(None).cast("int")
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), nothing.alias("first"), nothing.alias("last"))
+    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
         came, left = code(i), F.when(i >= WINDOW, code(i - WINDOW)).otherwise(F.lit(-1))
@@ -91,12 +94,30 @@ def _entropy(run: Column) -> Column:
         total = acc["sum"] + gone + F.get(term, was_came + 1) - F.get(term, was_came)
         counts = F.transform(acc["counts"], lambda v, k: v + F.when(k == came, 1).otherwise(0) - F.when(k == left, 1).otherwise(0))
         hit = (i >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hit, F.coalesce(acc["first"], i - (WINDOW - 1))).otherwise(acc["first"]).alias("first"), F.when(hit, i + 1).otherwise(acc["last"]).alias("last"))
+        low, high, n = (i - (WINDOW - 1)).cast("bigint"), (i + 1).cast("bigint"), F.size(acc["out"])
+        before = F.get(acc["out"], n - 1)
+        joined = F.when((n > 0) & (before["end"] >= low), F.concat(F.slice(acc["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(before["start"].alias("start"), high.alias("end")))))
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hit, F.coalesce(joined, F.concat(acc["out"], F.array(F.struct(low.alias("start"), high.alias("end")))))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), start, step, lambda acc: acc["out"])
+
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), start, step, lambda acc: F.struct(acc["first"], acc["last"]))
+def _uncovered(run: Column, base: Column) -> Column:
+    """array<struct<start, run>> of the stretches of a run, ``WINDOW`` long at least, that no span of the sorted ``base`` covers."""
+    end = run["start"] + F.length(run["run"])
+    start = F.struct(run["start"].alias("at"), F.array().cast(_SPAN).alias("out"))
 
+    def step(acc: Column, b: Column) -> Column:
+        high = F.least(b["start"], end)
+        span = F.array(F.struct(acc["at"].alias("start"), high.alias("end")))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(high - acc["at"] >= WINDOW, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-def _candidates(text: Column) -> Column:
+    last = F.array(F.struct(end.alias("start"), end.alias("end")))  # what follows the base spans ends with the run
+    cut = F.aggregate(F.concat(base, last), start, step, lambda acc: acc["out"])
+    return F.transform(cut, lambda s: F.struct(s["start"].alias("start"), F.substring(run["run"], (s["start"] - run["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("run")))
+
+
+def _candidates(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """array<struct<start, run>> of the runs that no allow-list pattern knows."""
     pattern = rf"(?<!{RUN}){RUN}{{{WINDOW},}}"
     gaps, hits = _parts(text, pattern)
@@ -105,7 +126,7 @@ def _candidates(text: Column) -> Column:
     def step(acc: Column, m: Column) -> Column:
         low = (acc["at"] + F.length(m["gap"])).cast("bigint")
         known = F.length(m["hit"]) == 0
-        for p in ALLOWED:
+        for p in allowed:
             known = known | m["hit"].rlike(p)
         return F.struct((low + F.length(m["hit"])).cast("bigint").alias("at"), F.when(known, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(low.alias("start"), m["hit"].alias("run"))))).alias("out"))
 
@@ -121,12 +142,17 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
 
-def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", parts: bool = False) -> DataFrame:
     """``df`` with ``secrets``: array<struct<start, kind, end>> in the order of start, then kind.
 
     Narrow and without Python: each text is scanned whole by itself. A null or empty text
     has no spans; repeated rows are scanned each by itself; columns of ``df`` stay, but one
     that is named ``secrets`` is replaced.
+
+    A run that touches a fixed pattern's span, or has an allowed word or date anywhere, gives
+    no entropy span. With ``parts`` only the covered part of it gives none: the stretches of
+    ``WINDOW`` characters or more between the fixed spans are measured by themselves, an
+    allowed word excuses only the high stretch it stands in, and a date only a run that is one.
     """
     keep = [F.col(f"`{c}`") for c in df.columns if c != "secrets"]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -135,12 +161,21 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         _spans(text, ASSIGN, lambda m: F.length(m["value"]) >= LEAST_VALUE, 4).alias("__assign"),
         _spans(text, rf"{ACCESS[:-1]}{{{LEAST_ACCESS - 4},}}", lambda m: F.lit(True)).alias("__access"),
         _spans(text, rf"{HEX[:-1]}{{{LEAST_HEX},}}", lambda m: F.lit(True)).alias("__hex"),
-        _candidates(text).alias("__runs"),
+        _candidates(text, ALLOWED_RUNS if parts else ALLOWED).alias("__runs"),
     )
     fixed = F.concat("__assign", "__access", "__hex")
-    measured = F.transform("__runs", lambda r: F.struct(r["start"].alias("start"), _entropy(r["run"]).alias("w")))
-    high = F.transform(F.filter(measured, lambda m: m["w"]["first"].isNotNull()), lambda m: F.struct((m["start"] + m["w"]["first"]).cast("bigint").alias("start"), (m["start"] + m["w"]["last"]).cast("bigint").alias("end")))
-    extra = F.when(F.size("__runs") > 0, F.filter(high, lambda s: ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(F.array().cast(_SPAN))
+    runs = F.flatten(F.transform("__runs", lambda r: _uncovered(r, F.array_sort(fixed)))) if parts else F.col("__runs")
+    measured = F.filter(F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["run"].alias("run"), _entropy(r["run"]).alias("w"))), lambda m: F.size(m["w"]) > 0)
+    moved = lambda m, low, high: F.struct((m["start"] + low).cast("bigint").alias("start"), (m["start"] + high).cast("bigint").alias("end"))
+    whole = lambda m: moved(m, F.get(m["w"], F.lit(0))["start"], F.get(m["w"], F.size(m["w"]) - 1)["end"])
+    if parts:
+        words = lambda m, s: F.substring(m["run"], (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).rlike(ALLOWED_STRETCH)
+        single = lambda m: F.transform(F.filter(m["w"], lambda s: ~words(m, s)), lambda s: moved(m, s["start"], s["end"]))
+        joint = lambda m: F.struct(F.get(m["w"], F.lit(0))["start"].alias("start"), F.get(m["w"], F.size(m["w"]) - 1)["end"].alias("end"))
+        high = F.flatten(F.transform(measured, lambda m: F.when(words(m, joint(m)), single(m)).otherwise(F.array(whole(m)))))
+    else:
+        high = F.filter(F.transform(measured, whole), lambda s: ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    extra = F.when(F.size("__runs") > 0, high).otherwise(F.array().cast(_SPAN))
     found = found.withColumn("__entropy", extra)
     named = [_kind(f"__{k}", i) for i, k in enumerate(KINDS)]
     out = F.transform(F.array_sort(F.concat(*named)), lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["end"].alias("end")))
@@ -153,7 +188,7 @@ def listed(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with the spans of :func:`scan` replaced by ``mark``; overlapping spans count as one."""
+    """``df`` with the spans of :func:`scan` with ``parts`` replaced by ``mark``; overlapping spans count as one."""
     text = F.col(f"`{text_col}`")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -163,11 +198,11 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     cut = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    found = scan(df, text_col)
+    found = scan(df, text_col, parts=True)
     return found.withColumn(text_col, F.when(F.size("secrets") > 0, cut).otherwise(text)).drop("secrets")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), parts=True)
     base = F.filter("secrets", lambda s: s["kind"] != KINDS[3])
     return found.select("doc_id", *map(_count, KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))

@@ -51,6 +51,25 @@ def test_redaction(spark):
     assert got == {0: "a [SECRET] b", 1: None, 2: "clean", 3: "[SECRET]"}
 
 
+def test_secrets_beside_others(spark, tmp_path):
+    rng = random.Random(2)
+    key = lambda n=40: "".join(rng.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", n))
+    access, blob, digest = "AKIA" + "Q7" * 8, "deadbeef" * 5, "0123456789abcdef" * 2
+    uuid = "12345678-1234-1234-1234-123456789abc"
+    cases = [("", access, "/", key()), ("blob/", blob, "/", key()), ("x" * 30 + "/samples/" + "x" * 30 + "/", "", "", key()), ("2024-05-01-", "", "", key()), ("", "", key() + "/", digest + "/" + key())]
+    texts = ["".join(c) for c in cases] + [uuid, "example" * 4 + "1", "y" * 30 + "1", access + "/short1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spans = {r["doc_id"]: r["spans"] for r in secrets.op10_secrets(spark, str(tmp_path)).collect()}
+    left = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    for i, (*_, last) in enumerate(cases):
+        part = last[-40:]
+        assert "entropy" in spans[i] and int(spans[i].rsplit(":", 1)[1]) == len(texts[i]), texts[i]
+        assert not any(part[k : k + 4] in left[i] for k in range(len(part) - 3)), left[i]
+    assert spans[4].count("entropy") == 2  # on both sides of the hex span
+    assert [left[i] for i in range(5, 8)] == texts[5:8] and left[8] == "[SECRET]/short1"
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
