@@ -158,6 +158,12 @@ def flat_map_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.flat_map(lambda r: [{"word": w} for w in r["text"].split(" ") if w], dtypes={"word": "string"}).drop("text").df
 
 
+@query("SELECT conv_id, turn, w AS word FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) WHERE w <> ''")
+def flat_map_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return d.flat_map(lambda r: [{"word": w} for w in (r["text"] or "").split(" ") if w], dtypes={"word": "string"}).drop("text").df
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey, n_nationkey + 100::BIGINT AS y, length(n_name)::BIGINT AS k FROM nation")
 def map_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").map(lambda r: {"y": r["n_nationkey"] + 100, "k": len(r["n_name"])}, dtypes={"y": "int64", "k": "int64"}).df
