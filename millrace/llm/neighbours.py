@@ -3,7 +3,8 @@
 The two halves of every vector are quantised by centroids of their own, so that K centroids
 a half make K * K cells. A query walks pairs of centroids in the order of their summed
 inner products, by a heap over the sorted halves, until the cells on its way hold the wanted
-share of all rows; the rows of those cells are ranked by the exact inner product.
+share of all rows that can be ranked, of one vector no more than ``k`` + 1; the rows of those
+cells are ranked by the exact inner product.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ BLOCK_ROWS, BLOCK_QUERIES = 16384, 16384
 class Index:
     dim: int
     halves: tuple[np.ndarray, np.ndarray]
-    #: Rows of each cell, and the first block and the number of salts of each first centroid.
+    #: Rows of each cell, those of one vector counted k + 1 times at most, and the first block and the number of salts of each first centroid.
     counts: np.ndarray | None = None
     block: np.ndarray | None = None
     salts: np.ndarray | None = None
     rows: int = 0
+    #: The sum of ``counts``.
+    ranked: int = 0
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroid of each half."""
@@ -91,30 +94,33 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
 
 
-def build(rows: DataFrame) -> Index | None:
-    """An index over rows of :func:`usable`; None without any. Vectors have the commonest length."""
+def build(rows: DataFrame, k: int = 20) -> Index | None:
+    """An index over rows of :func:`usable`, for searches of ``k``; None without any. Vectors have the commonest length."""
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return None
     dim = int(sizes[0]["d"])
     fit = rows.filter(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
     x = _matrix(fit["v"], dim)
-    h, k = dim // 2, max(1, min(CENTROIDS, len(x) // 4))
-    index = Index(dim, (_centroids(x[:, :h], k, 1), _centroids(x[:, h:], k, 2)))
+    h, c = dim // 2, max(1, min(CENTROIDS, len(x) // 4))
+    index = Index(dim, (_centroids(x[:, :h], c, 1), _centroids(x[:, h:], c, 2)))
     sent = rows.sparkSession.sparkContext.broadcast(index)
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             i, j = m.cells(_matrix(b.column(0), m.dim))
-            n = np.bincount(i * len(m.halves[1]) + j)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+            n, times = i * len(m.halves[1]) + j, np.asarray(b.column(1))
+            at = np.unique(n)
+            all_rows, ranked = np.bincount(n, weights=times), np.bincount(n, weights=np.minimum(times, k + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(all_rows[at].astype(np.int64)), pa.array(ranked[at].astype(np.int64))], ["cell", "n", "ranked"])
 
     counts = np.zeros(len(index.halves[0]) * len(index.halves[1]), np.int64)
-    for r in rows.filter(F.size("v") == dim).select("v").mapInArrow(cell, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts[r["cell"]] = r["n"]
-    index.counts, index.rows = counts, int(counts.sum())
+    index.counts = np.zeros_like(counts)
+    vectors = rows.filter(F.size("v") == dim).groupBy("v").agg(F.count("*").alias("times"))
+    for r in vectors.mapInArrow(cell, "cell long, n long, ranked long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ranked").alias("ranked")).collect():
+        counts[r["cell"]], index.counts[r["cell"]] = r["n"], r["ranked"]
+    index.rows, index.ranked = int(counts.sum()), int(index.counts.sum())
     first = counts.reshape(len(index.halves[0]), -1).sum(1)
     index.block, index.salts = np.zeros(len(first), np.int64), np.ones(len(first), np.int64)
     block, held = 0, 0
@@ -152,7 +158,7 @@ def search(rows: DataFrame, queries: DataFrame, index: Index, k: int, share: flo
     can be among the nearest.
     """
     sent = rows.sparkSession.sparkContext.broadcast(index)
-    want = max(math.ceil(share * index.rows), min(LEAST_ROWS, index.rows), k + 1)
+    want = max(math.ceil(share * index.ranked), min(LEAST_ROWS, index.ranked), k + 1)
     blocks = int(index.block.max() + index.salts[index.block.argmax()])
     parts = max(1, math.ceil(index.rows / 20 / BLOCK_QUERIES))
 
@@ -216,7 +222,7 @@ def search(rows: DataFrame, queries: DataFrame, index: Index, k: int, share: flo
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null, zero and not finite vectors take no part; repeated ids are rows of their own; no vectors, no rows."""
     rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    index = build(rows)
+    index = build(rows, 20)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return search(rows, rows.filter(F.col("id") % 20 == 0), index, 20)

@@ -207,6 +207,23 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * 20 * len(wanted)
 
 
+def test_neighbours_recall_beside_copies(spark):
+    x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()], np.float64)
+    n = len(x)
+    for hot in (7, 1234):
+        both = np.concatenate((x, np.tile(x[hot], (n // 2, 1))))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>").repartition(4)
+        rows = neighbours.usable(df, "vec_id", "embedding")
+        index = neighbours.build(rows, 20)
+        assert index.rows == len(both) and index.ranked == n + 20
+        got = {}
+        for r in neighbours.search(rows, rows.filter(F.col("id") % 20 == 0).filter(F.col("id") < n), index, 20).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        wanted = nearest(np.arange(len(both)), both, 20)
+        share = [len(got[q] & {i for i, _ in wanted[q]}) / 20 for q in got if q != hot]
+        assert len(share) >= n // 20 - 1 and np.mean(share) >= 0.93, (np.mean(share), min(share))
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [float("nan"), 1.0]), (80, [1.0, None]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
