@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import inspect
 import math
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +24,40 @@ UNIT_BYTES = 8 << 20
 BROADCAST_BYTES = 64 << 20
 
 
+def release() -> None:
+    """Gives freed memory of this Python worker back, as workers are kept for tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """``run``, a function of batches or of tables, with :func:`release` when it ends."""
+
+    @functools.wraps(run)
+    def tables(*args):
+        try:
+            out = run(*args)
+        finally:
+            release()
+        return out
+
+    @functools.wraps(run)
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(given)
+        finally:
+            release()
+
+    return batches if inspect.isgeneratorfunction(run) else tables
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,7 +67,7 @@ def sliced(texts: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES):
     n = len(texts)
     if not n:
         return
-    sizes = [0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start, held = 0, 0
     for i, s in enumerate(sizes):
         if i > start and held + s > limit:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import table
+from millrace.llm.common import frugal, sigmoid, table
 from millrace.llm.labelled import SAMPLE_ROWS, held_out, sample
 
 THRESHOLD = 0.7
@@ -67,7 +67,7 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
                 rows = np.array([statistics(x) for x in pc.cast(b.column(at), pa.string()).to_pylist()]).reshape(-1, len(names))
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in rows.T)], [*b.schema.names, *names])
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return given.mapInArrow(frugal(run), T.StructType([*given.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 #: A comparison is (statistic, whether above, bound): above means > bound, else <= bound.
@@ -93,10 +93,6 @@ class Ensemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-
-
 def _best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, bounds: list[np.ndarray], least: int):
     best = (1e-6, -1, 0.0)
     total_g, total_h = g[at].sum(), h[at].sum()
@@ -119,7 +115,7 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, ra
     z = np.full(len(y), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     found: dict[Rule, None] = {}
     for _ in range(trees):
-        p = _sigmoid(z)
+        p = sigmoid(z)
         g, h = y - p, p * (1 - p)
         todo: list[tuple[np.ndarray, Rule, int]] = [(np.arange(len(y)), (), 0)]
         while todo:
@@ -144,7 +140,7 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tup
     w[0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     u, t = w.copy(), 1.0
     for _ in range(steps):
-        e = _sigmoid(u[0] + r @ u[1:]) - y
+        e = sigmoid(u[0] + r @ u[1:]) - y
         new = u - np.concatenate(([e.mean()], r.T @ e / n)) / scale
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - penalty / scale, 0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2

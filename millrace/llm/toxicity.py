@@ -3,8 +3,10 @@
 The terms of a text are its lower-case words and their beginnings, hashed into a fixed
 number of buckets. The machine adds to the weights of the buckets that a text has the
 inner products of their factors, pair by pair, so that terms which are harmless alone can
-count together. Every bucket of the fitted rows has a weight and factors; those that have
-shown little, alone or in a pair, learn more slowly instead of being left out.
+count together. Every bucket of the fitted rows has a weight and factors. Weights are
+fitted first; factors start from the leading eigenvectors of the matrix of all pairs of
+buckets, each pair with the sum of what the weights leave unexplained in the rows that have
+it, so that pairs are found whatever their buckets tell alone. Then both are fitted together.
 """
 
 from __future__ import annotations
@@ -20,27 +22,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import types as T
 
-from millrace.llm.common import table
+from millrace.llm.common import frugal, sigmoid, table
 from millrace.llm.labelled import SAMPLE_ROWS, held_out, sample
 
 BUCKET_BITS = 20
 FACTORS = 8
-#: Standard deviations of a bucket's label 1 rows, alone or with another bucket, from which it learns at full rate.
-FULL_GAIN, FULL_PAIR_GAIN = 4.0, 5.0
-#: Power of the share of a full gain by which other buckets learn more slowly.
-SLOWNESS = 4
-#: Pairs are counted of buckets that stand in one of so many rows at least, and in LEAST_PAIR_ROWS of them.
-PAIR_SHARE, LEAST_PAIR_ROWS = 400, 4
-#: Buckets on each side of a block of pairs.
-PAIR_BLOCK = 1024
+#: Standard deviations of a bucket's label 1 rows from which its weight learns at full rate, and the power by which others are slower.
+FULL_GAIN, SLOWNESS = 4.0, 4
+#: Passes over the rows for the weights, for the pair matrix, and for both parts together; rows that move them at a time.
+WEIGHT_EPOCHS, PAIR_ROUNDS, JOINT_EPOCHS, BLOCK_ROWS = 25, 6, 40, 256
+#: Fewest steps for both parts together, so that few rows are fitted as closely.
+JOINT_STEPS = 1200
+#: Of the joint passes every so manieth moves the factors of all buckets, the others those of buckets that have some.
+WHOLE_EVERY = 8
 #: Weight of a row of label 1 in fitting, which are the fewer.
 TOXIC_WEIGHT = 3.0
 THRESHOLD = 0.7
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 #: Lengths in bytes of the word beginnings that are terms of their own.
-_HEADS = (5, 6, 7, 8)
+_HEADS = (5, 7)
 
 
 def buckets(text: str | None, memo: dict[bytes, tuple[int, ...]]) -> set[int]:
@@ -50,7 +53,7 @@ def buckets(text: str | None, memo: dict[bytes, tuple[int, ...]]) -> set[int]:
     for w in set(_WORD.findall((text or "").lower().encode("utf-8", "replace"))):
         got = memo.get(w)
         if got is None:
-            if len(memo) > 300_000:
+            if len(memo) > 100_000:
                 memo.clear()
             got = memo[w] = (zlib.crc32(w) & mask, *(zlib.crc32(w[:n], 1) & mask for n in _HEADS if len(w) > n))
         out.update(got)
@@ -59,7 +62,7 @@ def buckets(text: str | None, memo: dict[bytes, tuple[int, ...]]) -> set[int]:
 
 @dataclass
 class Machine:
-    """Buckets with a weight and factors each, and the bias."""
+    """Buckets with a weight and factors each, and the bias; ``factors`` has a row for each factor."""
 
     kept: np.ndarray
     bias: float
@@ -74,135 +77,131 @@ class Machine:
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         """Probabilities for lists of positions in ``kept``."""
-        both = np.concatenate((self.weights[:, None], self.factors), axis=1)
-        z = np.empty(len(rows))
-        for i, r in enumerate(rows):
-            x = both[r]
-            s = x.sum(0)
-            z[i] = self.bias + s[0] + 0.5 * ((s[1:] ** 2).sum() - (x[:, 1:] ** 2).sum())
-        return _sigmoid(z)
+        n = np.array([len(r) for r in rows], np.int64)
+        at = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+        z = self.bias + _row_sums(self.weights, at, n)
+        for f in self.factors.astype(np.float64):
+            z += 0.5 * (_row_sums(f, at, n) ** 2 - _row_sums(f**2, at, n))
+        return sigmoid(z)
+
+
+def _row_sums(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` at the positions of each row; ``n`` positions a row."""
+    out = np.zeros(len(n))
+    if len(at):
+        out[n > 0] = np.add.reduceat(values[at].astype(np.float64), (np.cumsum(n) - n)[n > 0])
+    return out
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+class _Block:
+    """Rows that are fitted together: entries row by row, and bucket by bucket."""
+
+    def __init__(self, at: np.ndarray, n: np.ndarray, y: np.ndarray):
+        self.n, self.y = n, y
+        self.cost = np.where(y > 0, TOXIC_WEIGHT, 1.0) / max(1, len(n))
+        order = np.argsort(at, kind="stable")
+        self.found, self.heads = np.unique(at[order], return_index=True)
+        self.at = np.empty(len(at), np.int32)
+        self.at[order] = np.repeat(np.arange(len(self.found), dtype=np.int32), np.diff(np.append(self.heads, len(at))))
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+
+    def only(self, some: np.ndarray) -> _Block:
+        """The block with the entries of those buckets that ``some`` marks."""
+        keep = some[self.found[self.at]]
+        n = np.bincount(np.repeat(np.arange(len(self.n)), self.n)[keep], minlength=len(self.n))
+        return _Block(self.found[self.at[keep]], n, self.y)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each row the sum of its buckets' values."""
+        return _row_sums(values, self.at, self.n)
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """For each bucket the sum of its rows' values."""
+        return np.add.reduceat(values[self.row], self.heads) if len(self.row) else np.zeros(0)
+
+
+def _blocks(at: np.ndarray, n: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[_Block]:
+    """Rows in a fixed random order; sixteen blocks at least, so that few rows make enough steps too."""
+    starts, out = np.cumsum(n) - n, []
+    for rows in np.array_split(rng.permutation(len(n)), max(min(16, len(n)), len(n) // BLOCK_ROWS)):
+        own = n[rows]
+        entries = np.repeat(starts[rows] - np.cumsum(own) + own, own) + np.arange(own.sum())
+        out.append(_Block(at[entries], own, y[rows]))
+    return out
 
 
-@dataclass
-class _Block:
-    """Rows that are fitted together: the buckets they have and where those stand in them."""
-
-    rows: np.ndarray
-    found: np.ndarray
-    #: For the entries row by row: places in ``found``, and where each row with entries starts.
-    at: np.ndarray
-    starts: np.ndarray
-    full: np.ndarray
-    #: For the entries bucket by bucket: their rows, and where each bucket starts.
-    row: np.ndarray
-    heads: np.ndarray
-
-
-def _block(rows: np.ndarray, given: list[np.ndarray]) -> _Block:
-    n = np.array([len(given[i]) for i in rows])
-    x = np.concatenate([np.zeros(0, np.int32), *(given[i] for i in rows)]).astype(np.int32)
-    order = np.argsort(x, kind="stable")
-    found, heads = np.unique(x[order], return_index=True)
-    at = np.empty(len(x), np.int32)
-    at[order] = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(np.append(heads, len(x))))
-    return _Block(rows, found, at, (np.cumsum(n) - n)[n > 0], n > 0, np.repeat(np.arange(len(rows), dtype=np.int32), n)[order], heads)
-
-
-def fit(kept: np.ndarray, rows: list[np.ndarray], y: np.ndarray, epochs: int = 60, rate: float = 0.1, l2: float = 2e-5, seed: int = 7, pace: np.ndarray | None = None) -> Machine:
-    """A machine for rows of positions in ``kept`` and labels, by AdaGrad on the log loss, row blocks in a fixed order.
-
-    There are eight blocks at least, so that few rows make enough steps too. A block moves
-    the buckets that its rows have and no others; ``pace`` (from 0 to 1, else
-    1) multiplies the rate and the first factors of each bucket. Without rows of both labels
-    the machine always gives the share of label 1.
+def _leading(whole: _Block, error: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Leading eigenvectors, FACTORS rows, of the matrix that has for each two buckets minus the errors of the rows with both."""
+    diagonal = whole.back(error)
+    v = np.linalg.qr(rng.normal(size=(len(whole.found), FACTORS)))[0].T
+    for _ in range(PAIR_ROUNDS):
+        v = np.array([whole.back(error * whole.sums(f)) - diagonal * f for f in v])
+        v = np.linalg.qr(v.T)[0].T
+    return v
+
+
+def _shrunk(v: np.ndarray, by: float) -> np.ndarray:
+    """The factors of each bucket, shorter by ``by`` and none where they are shorter than that."""
+    return v * np.maximum(0, 1 - by / np.maximum(np.sqrt((v**2).sum(0)), 1e-12))
+
+
+def fit(kept: np.ndarray, at: np.ndarray, n: np.ndarray, y: np.ndarray, rate: float = 0.1, factor_rate: float = 0.3, l2: float = 2e-5, shrink: float = 4e-3, seed: int = 7, pace: np.ndarray | None = None) -> Machine:
+    """A machine for rows with ``n`` positions in ``kept`` each, ``at`` row by row, and labels, on the log loss.
+
+    Weights move by AdaGrad, each by its own gradients, at ``pace`` (from 0 to 1, else 1);
+    factors by their joint gradient, so that pairs that many rows have move first, and shrink to
+    none where little drives them. Without rows of both labels the machine always gives the
+    share of label 1.
     """
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 1e-3
     prior = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max() or not len(kept):
-        return Machine(np.zeros(0, np.int64), prior, np.zeros(0), np.zeros((0, FACTORS)))
+        return Machine(np.zeros(0, np.int64), prior, np.zeros(0, np.float32), np.zeros((FACTORS, 0), np.float32))
     rng = np.random.default_rng(seed)
-    pace = np.ones((len(kept), 1)) if pace is None else pace[:, None]
-    p = np.concatenate((np.zeros((len(kept), 1)), rng.normal(0, 0.05, (len(kept), FACTORS)) * pace), axis=1)  # weight, then factors
-    g, bias, gb = np.full(p.shape, 1e-6), prior, 1e-6
-    blocks = [_block(r, rows) for r in np.array_split(rng.permutation(len(rows)), max(min(8, len(rows)), len(rows) // 256))]
-    for _ in range(epochs):
+    pace = np.ones(len(kept)) if pace is None else pace.copy()
+    w, g, bias, gb = np.zeros(len(kept)), np.full(len(kept), 1e-6), prior, 1e-6
+    v, gv = np.zeros((FACTORS, len(kept))), 1e-6
+    blocks = _blocks(at, n, y, rng)
+    paired = [b.only(np.zeros(len(kept), bool)) for b in blocks]  # the entries of buckets whose factors move
+    for epoch in range(WEIGHT_EPOCHS + max(JOINT_EPOCHS, JOINT_STEPS // len(blocks))):
+        if epoch == WEIGHT_EPOCHS:
+            whole = _Block(at, n, y)
+            v = _leading(whole, (y - sigmoid(bias + whole.sums(w))) * whole.cost, rng)
+            v = _shrunk(v * 0.2 / np.abs(v).max(1, keepdims=True).clip(1e-12), 0.05)
+            g[:], gb = 1e-6, 1e-6
+        if epoch >= WEIGHT_EPOCHS:
+            every = (epoch - WEIGHT_EPOCHS) % WHOLE_EVERY == 0
+            alive = np.abs(v).max(0) > 0
+            paired = blocks if every else [b.only(alive) for b in blocks] if (epoch - WEIGHT_EPOCHS) % WHOLE_EVERY == 1 else paired
         for i in rng.permutation(len(blocks)):
-            b = blocks[i]
-            own = p[b.found]
-            s, squares = np.zeros((len(b.rows), 1 + FACTORS)), np.zeros(len(b.rows))
+            b, c = blocks[i], paired[i]
+            z = bias + b.sums(w[b.found])
+            own = v[:, c.found]
+            s = [c.sums(f) for f in own]
+            for f, t in zip(own, s, strict=True):
+                z += 0.5 * (t**2 - c.sums(f**2))
+            e = (sigmoid(z) - b.y) * b.cost
+            if len(c.at):
+                d = c.back(e)
+                dv = np.array([c.back(e * t) - d * f for f, t in zip(own, s, strict=True)]) + l2 * own
+                gv += (dv**2).sum()
+                own = _shrunk(own - factor_rate * dv / np.sqrt(gv), shrink)
+                v[:, c.found] = own
+                pace[c.found] = np.maximum(pace[c.found], np.minimum(1, np.sqrt((own**2).sum(0))))
             if len(b.at):
-                s[b.full] = np.add.reduceat(own[b.at], b.starts, axis=0)
-                squares[b.full] = np.add.reduceat((own[:, 1:] ** 2).sum(1)[b.at], b.starts)
-            z = bias + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(1) - squares)
-            e = (_sigmoid(z) - y[b.rows]) * np.where(y[b.rows] > 0, TOXIC_WEIGHT, 1.0) / len(b.rows)
-            if len(b.at):
-                d = np.add.reduceat(np.concatenate((e[:, None], e[:, None] * s[:, 1:]), axis=1)[b.row], b.heads, axis=0)
-                d[:, 1:] -= d[:, :1] * own[:, 1:]
-                d += l2 * own
+                d = b.back(e) + l2 * w[b.found]
                 g[b.found] += d**2
-                p[b.found] = own - rate * pace[b.found] * d / np.sqrt(g[b.found])
+                w[b.found] -= rate * pace[b.found] * d / np.sqrt(g[b.found])
             gb += e.sum() ** 2
             bias -= rate * e.sum() / np.sqrt(gb)
-    return Machine(kept, float(bias), p[:, 0].copy(), p[:, 1:].copy())
-
-
-def pair_gains(spark: SparkSession, flat: np.ndarray, n: np.ndarray, y: np.ndarray, rate: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """For each position of ``some`` the most standard deviations that a pair with another adds to both label shares.
-
-    ``flat`` has the rows' positions, ``n`` of each, ``rate`` the label share of each
-    position. A pair's label 1 rows count beyond what the larger share of the two and of all
-    rows leads to expect, or short of the smaller. Blocks of pairs are counted in the cluster.
-    """
-    place = np.full(len(rate), -1, np.int32)
-    place[some] = np.arange(len(some))
-    at = place[flat]
-    row, at = np.repeat(np.arange(len(n), dtype=np.int32), n)[at >= 0], at[at >= 0]
-    order = np.argsort(at, kind="stable")
-    sent = spark.sparkContext.broadcast((row[order], at[order], y > 0, rate[some].astype(np.float32), np.float32(y.mean())))
-    wide = -(-len(some) // PAIR_BLOCK)
-
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, at, hit, rate, mean = sent.value
-
-        def dense(k: int) -> np.ndarray:
-            low, high = k * PAIR_BLOCK, min((k + 1) * PAIR_BLOCK, len(rate))
-            a, b = np.searchsorted(at, (low, high))
-            out = np.zeros((len(hit), high - low), np.float32)
-            out[row[a:b], at[a:b] - low] = 1
-            return out
-
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                x, best = dense(i), np.zeros(len(rate), np.float32)
-                for j in range(i, wide):
-                    z = x if j == i else dense(j)
-                    both, hits = x.T @ z, x[hit].T @ z[hit]
-                    mine, other = slice(i * PAIR_BLOCK, (i + 1) * PAIR_BLOCK), slice(j * PAIR_BLOCK, (j + 1) * PAIR_BLOCK)
-                    most = np.maximum(np.maximum(rate[mine, None], rate[None, other]), mean)
-                    least = np.minimum(np.minimum(rate[mine, None], rate[None, other]), mean)
-                    gain = np.maximum((hits - both * most) / np.sqrt(both * most * (1 - most) + 1), (both * least - hits) / np.sqrt(both * least * (1 - least) + 1))
-                    if j == i:
-                        np.fill_diagonal(gain, 0)
-                    best[mine], best[other] = np.maximum(best[mine], gain.max(1)), np.maximum(best[other], gain.max(0))
-                told = np.flatnonzero(best > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(told, pa.int64()), pa.array(best[told].astype(np.float64))], ["at", "gain"])
-
-    out = np.zeros(len(some))
-    if wide:
-        got = spark.range(0, wide, 1, wide).mapInArrow(gains, "at long, gain double").groupBy("at").agg(F.max("gain").alias("gain")).toArrow()
-        out[got["at"].to_numpy()] = got["gain"].to_numpy()
-    return out
+    return Machine(kept, float(bias), w.astype(np.float32), v.astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, left: int = 1, rows: int = SAMPLE_ROWS) -> Machine:
     """A machine for the labelled documents that are not held out, ``rows`` of them at most.
 
-    The driver gets, for each row, which buckets it has; all of them are fitted, by a pace
-    after what they show alone or in pairs.
+    The driver gets, for each row, which buckets it has; all of them are fitted, weights at a
+    pace after what they show alone.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(buckets(x, memo)) for x in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["doc_id", "b", "y"])
 
-    got = sample(docs, labels, label, parts, left, rows).mapInArrow(hashed, "doc_id long, b array<int>, y double").toArrow().sort_by("doc_id")
+    got = sample(docs, labels, label, parts, left, rows).mapInArrow(frugal(hashed), "doc_id long, b array<int>, y double").toArrow().sort_by("doc_id")
     y, n = got["y"].to_numpy(), pc.list_value_length(got["b"]).to_numpy().astype(np.int64)
     flat = pc.list_flatten(got["b"]).to_numpy()
     count = np.bincount(flat, minlength=1 << BUCKET_BITS)
@@ -218,24 +217,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     place = np.zeros(len(count), np.int32)
     place[kept] = np.arange(len(kept))
     flat, count = place[flat], count[kept]
-    hits = np.bincount(flat, weights=np.repeat(y, n), minlength=len(kept))
     pace = np.zeros(len(kept))
     if len(y) and y.min() < y.max():
-        mean = y.mean()
-        pace = np.abs(hits - count * mean) / np.sqrt(count * mean * (1 - mean) + 1) / FULL_GAIN
-        some = np.flatnonzero(count >= max(LEAST_PAIR_ROWS, len(y) // PAIR_SHARE))
-        pace[some] = np.maximum(pace[some], pair_gains(docs.sparkSession, flat, n, y, hits / count, some) / FULL_PAIR_GAIN)
-    return fit(kept, np.split(flat, np.cumsum(n)[:-1]) if len(n) else [], y, pace=np.minimum(1, pace**SLOWNESS))
+        mean, hits = y.mean(), np.bincount(flat, weights=np.repeat(y, n), minlength=len(kept))
+        pace = np.minimum(1, np.abs(hits - count * mean) / np.sqrt(count * mean * (1 - mean) + 1) / FULL_GAIN) ** SLOWNESS
+    return fit(kept, flat, n, y, pace=pace)
 
 
-def score(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """``df`` with ``score``: the machine's probability that a text is toxic; narrow.
+def score(df: DataFrame, machine: Machine, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``df`` with ``name``: the machine's probability that a text is toxic; narrow.
 
     Null and empty texts have no terms and get the score of the bias alone. Whole texts are
-    read; repeated rows get equal scores; a column of ``df`` named ``score`` is replaced. The
+    read; repeated rows get equal scores; a column of ``df`` with that name is replaced. The
     machine is broadcast; the number of buckets bounds its size.
     """
-    given = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "score"])
+    given = df.select(*[F.col(f"`{c}`") for c in df.columns if c != name])
     at = given.columns.index(text_col)
     sent = df.sparkSession.sparkContext.broadcast(machine)
 
@@ -250,9 +246,9 @@ def score(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
                     got = buckets(x, memo)
                     found = place[np.fromiter(got, np.int64, len(got))]
                     rows.append(np.sort(found[found >= 0]))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(rows), pa.float64())], [*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(rows), pa.float64())], [*b.schema.names, name])
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType())]))
+    return given.mapInArrow(frugal(run), T.StructType([*given.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.count() == 1000
     rows = got.filter("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.93 * len(rows)
+    toxic = [r["predicted"] for r in rows if r["toxic"]]
+    assert sum(toxic) >= 0.7 * len(toxic) and sum(r["predicted"] for r in rows if not r["toxic"]) <= 1  # 252 fitted rows; see the README for more
     same = [r["s"] for r in toxicity.op9_toxicity(spark, ROOT).agg(F.sum("score").alias("s")).collect()]
     assert abs(same[0] - got.agg(F.sum("score")).first()[0]) < 1e-9
 
@@ -56,10 +58,19 @@ def test_pairs_of_terms_count():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         rows.append(np.array([k for k, on in enumerate((a, b, rng.random() < 0.5)) if on], np.int64))
         y.append(float(a != b))  # no sum of weights can tell these
-    m = toxicity.fit(np.arange(3), rows, np.array(y), epochs=200)
+    m = toxicity.fit(np.arange(3), np.concatenate(rows), np.array([len(r) for r in rows]), np.array(y))
     assert ((m.score(rows) > 0.5) == (np.array(y) > 0)).mean() > 0.95
 
 
+def test_scores_are_the_sums_over_pairs():
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine(np.arange(40), 0.3, rng.normal(size=40).astype(np.float32), rng.normal(size=(toxicity.FACTORS, 40)).astype(np.float32))
+    rows = [np.sort(rng.permutation(40)[:k]) for k in (0, 1, 2, 7, 40)]
+    for r, p in zip(rows, m.score(rows), strict=True):
+        z = 0.3 + m.weights[r].astype(float).sum() + sum(m.factors[:, i].astype(float) @ m.factors[:, j] for a, i in enumerate(r) for j in r[:a])
+        assert abs(p - toxicity.sigmoid(z)) < 1e-9
+
+
 def test_odd_inputs(spark):
     df = spark.createDataFrame([(1, None, 5), (1, None, 5), (2, "", 5), (None, "x" * 100000, 5)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
