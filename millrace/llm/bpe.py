@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,30 +22,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import SLICE_BYTES, sliced, table
+from millrace.llm.common import SLICE_BYTES, Stretches, frugal, sliced, table
 
 #: Distinct words whose encodings a worker keeps at a time.
 KEPT_WORDS = 400_000
 #: Bytes of text whose words come under one index.
-INDEX_BYTES = 4 * SLICE_BYTES
+INDEX_BYTES = 2 * SLICE_BYTES
+#: Bytes of text whose characters are looked at together.
+SPLIT_BYTES = SLICE_BYTES // 4
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: The pieces of a text inside which merges happen.
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
-def _ranges(major: str, below: int) -> str:
-    return "".join(f"\\u{c:04x}" for c in range(below) if unicodedata.category(chr(c))[0] == major)
-
-
-# The same words for texts of Latin characters only, by the faster engine.
-_L, _N = _ranges("L", 0x250), _ranges("N", 0x250)
-_LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_SPACE}{_L}{_N}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_BEYOND_LATIN = re.compile("[^\\u0000-\\u024f]")
-
-
-def split_words(text: str) -> list[str]:
-    """The pieces of ``text`` inside which merges happen."""
-    return (_WORDS if _BEYOND_LATIN.search(text) else _LATIN_WORDS).findall(text)
+def _kinds() -> np.ndarray:
+    """For each code point 1 for letters, 2 for numbers, 3 for white space, else 0."""
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x110000))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in enumerate((r"\p{L}+", r"\p{N}+", f"[{_SPACE}]+"), 1):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
 
 
 def _byte_chars() -> dict[str, int]:
@@ -61,7 +58,7 @@ def _byte_chars() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Merges, byte symbols and token bytes of a byte-level BPE file."""
+    """Merges, byte symbols and token bytes of a byte-level BPE file, and the kinds of characters."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -76,6 +73,7 @@ class Vocabulary:
             self.token_bytes[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
+        self.kinds = _kinds()
         self.byte_ids = np.zeros(256, np.int32)
         for c, b in chars.items():
             self.byte_ids[b] = vocab[c]
@@ -184,75 +182,47 @@ def _extend(index: dict[int, list[np.ndarray]], active: list[int], rank: int, at
         heapq.heappush(active, rank)
 
 
-class Words:
-    """Splits texts of Latin characters into words without making a string of each.
-
-    A word is known by two independent 64-bit hashes of its characters: words are grouped
-    by the first, and the second must agree within each group.
-    """
-
-    _KIND = np.array([3 if re.match(f"[{_SPACE}]", chr(c)) else {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x250)], np.uint8)
-    _rng = np.random.default_rng(20240229)
-    _CODE = _rng.integers(1, 1 << 63, (2, 0x250), dtype=np.uint64)
-    _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-    def __init__(self) -> None:
-        self._powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-        self._inverse = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-    def _grow(self, n: int) -> None:
-        if len(self._powers[0]) < n:
-            for k, base in enumerate(self._BASE):
-                self._powers[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base))))
-                self._inverse[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, np.uint64(pow(int(base), -1, 1 << 64))))))
-
-    @classmethod
-    def starts(cls, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Marks where words start; ``first`` marks the first characters of texts."""
-        kind = cls._KIND[chars]
-        n = len(chars)
-        last = np.ones(n, bool)  # of its text
-        last[:-1] = first[1:]
-        before = np.empty_like(kind)
-        before[0], before[1:] = 9, kind[:-1]
-        before[first] = 9
-        after = np.full(n, 9, np.uint8)
-        after[:-1] = kind[1:]
-        after[last] = 9
-        blank = kind == 3
-        spaced = np.zeros(n, bool)  # stands after a space, which belongs to its word
-        spaced[1:] = chars[:-1] == 0x20
-        spaced &= ~first
-        out = np.where(blank, (before != 3) | ((after != 3) & (after != 9)), (before != kind) & ~spaced)
-        quote = np.flatnonzero((chars == 0x27) & (before != 0) & ~spaced & (after == 1))
-        if len(quote):
-            one, two = chars[quote + 1], chars[np.minimum(quote + 2, n - 1)]
-            pair = (quote + 2 < n) & ~first[np.minimum(quote + 2, n - 1)]
-            short = np.isin(one, [ord(c) for c in "stmd"])
-            long = pair & (((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
-            for at, size in ((quote[short], 2), (quote[long], 3)):
-                out[at] = True
-                out[at + 1] = False
-                if size == 3:
-                    out[at + 2] = False
-                end = at + size
-                end = end[end < n]
-                attached = (kind[end] == 1) & ~first[end]
-                out[end[attached]] = True
-        return out
-
-    def hashed(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        self._grow(len(chars) + 1)
-        out = []
-        for k in (0, 1):
-            sums = np.zeros(len(chars) + 1, np.uint64)
-            np.cumsum(self._CODE[k][chars] * self._powers[k][: len(chars)], out=sums[1:])
-            out.append((sums[end] - sums[start]) * self._inverse[k][start])
-        return out
+def word_starts(kinds: np.ndarray, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Marks where the words of ``WORDS`` start; ``first`` marks the first characters of texts."""
+    kind = kinds[chars]
+    n = len(chars)
+    last = np.ones(n, bool)  # of its text
+    last[:-1] = first[1:]
+    before = np.empty_like(kind)
+    before[0], before[1:] = 9, kind[:-1]
+    before[first] = 9
+    after = np.full(n, 9, np.uint8)
+    after[:-1] = kind[1:]
+    after[last] = 9
+    blank = kind == 3
+    spaced = np.zeros(n, bool)  # stands after a space, which belongs to its word
+    spaced[1:] = chars[:-1] == 0x20
+    spaced &= ~first
+    out = np.where(blank, (before != 3) | ((after != 3) & (after != 9)), (before != kind) & ~spaced)
+    quote = np.flatnonzero((chars == 0x27) & (before != 0) & ~spaced & (after == 1))
+    if len(quote):
+        one, two = chars[quote + 1], chars[np.minimum(quote + 2, n - 1)]
+        pair = (quote + 2 < n) & ~first[np.minimum(quote + 2, n - 1)]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = pair & (((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
+        for at, size in ((quote[short], 2), (quote[long], 3)):
+            out[at] = True
+            out[at + 1] = False
+            if size == 3:
+                out[at + 2] = False
+            end = at + size
+            end = end[end < n]
+            attached = (kind[end] == 1) & ~first[end]
+            out[end[attached]] = True
+    return out
 
 
 class Encoder:
-    """Encodes lists of texts, keeping the encodings of recent words."""
+    """Encodes lists of texts, keeping the encodings of recent words.
+
+    Words are looked up by a hash of their bytes, and their bytes are compared on each hit;
+    words whose hash another one has got first are kept by their bytes.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -260,13 +230,21 @@ class Encoder:
         self._flat = np.frombuffer(b"".join(vocab.token_bytes), np.uint8)
         self._sizes = np.array([len(x) for x in vocab.token_bytes], np.int64)
         self._at = np.cumsum(self._sizes) - self._sizes
-        self._words = Words()
         self._forget()
 
     def _forget(self) -> None:
+        """Only the special tokens stay, a word each in the first rows."""
+        special = list(self.vocab.special)
+        self._special_row = {x: i for i, x in enumerate(special)}
+        self._ids = np.array([self.vocab.special[x] for x in special], np.int32)
+        self._counts = np.ones(len(special), np.int64)
+        self._starts = np.arange(len(special))
         self._new: list[bytes] = []
-        self._hash, self._check, self._row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self._ids, self._counts, self._starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._hash, self._row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ordered by the hash
+        self._clash: dict[bytes, int] = {}
+        self._data = bytearray()  # bytes of the words that have a hash, in the order of their rows
+        self._low = np.zeros(len(special), np.int64)
+        self._high = np.zeros(len(special), np.int64)
 
     def _learn(self) -> None:
         """Encodes the words met since the last call, all under one index."""
@@ -280,67 +258,75 @@ class Encoder:
         """For each list of texts the token ids of all in a row, and each text's number of ids."""
         if len(self._hash) > KEPT_WORDS:
             self._forget()
-        held = []
-        for texts in slices:
-            odd = {i for i, x in enumerate(texts) if _BEYOND_LATIN.search(x) or self._special is not None and self._special.search(x)}
-            held.append((odd, *self._latin(["" if i in odd else x for i, x in enumerate(texts)] if odd else texts)))
+        held = [self._rows(texts) for texts in slices]
         self._learn()
-        for texts, (odd, row, words) in zip(slices, held, strict=True):
+        for row, words in held:
             n = self._counts[row]
             done = np.concatenate(([0], np.cumsum(n)))
             ids = self._ids[np.repeat(self._starts[row] - done[:-1], n) + np.arange(done[-1])]
-            ends = done[np.cumsum(words)]
-            counts = np.diff(ends, prepend=0)
-            if odd:
-                parts, at = [], 0
-                for i in sorted(odd):
-                    parts += [ids[at : ends[i]], self._any(texts[i])]
-                    counts[i], at = len(parts[-1]), ends[i]
-                ids = np.concatenate([*parts, ids[at:]])
-            yield ids, counts
-
-    def _any(self, text: str) -> np.ndarray:
-        """Ids of one text with any characters and special tokens."""
-        out = []
-        for i, part in enumerate(self._special.split(text) if self._special is not None else [text]):
-            if i % 2:
-                out.append(np.array([self.vocab.special[part]], np.int32))
-            else:
-                out.append(encode_words(self.vocab, [w.encode("utf-8", "surrogatepass") for w in split_words(part)])[0])
-        return np.concatenate(out)
-
-    def _latin(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each word in the order of the texts, and each text's words."""
+            yield ids, np.diff(done[np.cumsum(words)], prepend=0)
+
+    def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each word in the order of the texts, and each text's number of words."""
+        if self._special is None or not any(map(self._special.search, texts)):
+            return self._plain(texts)
+        cut = [self._special.split(x) for x in texts]  # what stands at odd places is special
+        row, words = self._plain(["" if i % 2 else x for parts in cut for i, x in enumerate(parts)])
+        odd = [(k, x) for k, (i, x) in enumerate((i, x) for parts in cut for i, x in enumerate(parts)) if i % 2]
+        row = np.insert(row, np.cumsum(words)[[k for k, _ in odd]], [self._special_row[x] for _, x in odd])
+        words[[k for k, _ in odd]] = 1
+        return row, np.add.reduceat(words, np.cumsum([0, *map(len, cut)])[:-1])
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without special tokens."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         joined = "".join(texts)
         if not joined:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint16)
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(sizes)
         first = np.zeros(len(chars), bool)
         first[(ends - sizes)[sizes > 0]] = True
-        start = np.flatnonzero(Words.starts(chars, first))
-        end = np.append(start[1:], len(chars))
-        one, two = self._words.hashed(chars, start, end)
-        values, example, which = np.unique(one, return_index=True, return_inverse=True)
-        if (two != two[example][which]).any():
-            raise ValueError("two words have one 64-bit hash")
+        start = np.flatnonzero(word_starts(self.vocab.kinds, chars, first))
+        data = joined.encode("utf-8", "surrogatepass")
+        if len(data) == len(chars):
+            low, high = start, np.append(start[1:], len(data))
+        else:
+            done = np.cumsum((1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)).astype(np.int32))
+            low = np.where(start > 0, done[start - 1], 0).astype(np.int64)
+            high = np.append(low[1:], len(data))
+        return self._lookup(Stretches(data), low, high), np.diff(np.searchsorted(start, ends), prepend=0)
+
+    def _lookup(self, text: Stretches, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Rows of the words; those met for the first time get the next ones."""
+        values, example, which = np.unique(text.hashes(low, high), return_index=True, return_inverse=True)
+        row = np.empty(len(values), np.int64)
         near = np.minimum(np.searchsorted(self._hash, values), max(len(self._hash) - 1, 0))
         known = self._hash[near] == values if len(self._hash) else np.zeros(len(values), bool)
-        if (self._check[near[known]] != two[example][known]).any():
-            raise ValueError("two words have one 64-bit hash")
-        row = np.empty(len(values), np.int32)
-        row[known] = self._row[near[known]] if len(self._hash) else 0
+        row[known] = self._row[near[known]] if known.any() else 0
         new = np.flatnonzero(~known)
         if len(new):
-            row[new] = len(self._counts) + len(self._new) + np.arange(len(new))
-            self._new += [joined[a:b].encode() for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)]
-            merged = np.concatenate((self._hash, values[new]))
-            order = np.argsort(merged, kind="stable")
-            self._hash = merged[order]
-            self._check = np.concatenate((self._check, two[example[new]]))[order]
-            self._row = np.concatenate((self._row, row[new]))[order]
-        return row[which], np.diff(np.searchsorted(start, ends), prepend=0)
+            words = [text.data[a:b] for a, b in zip(low[example[new]].tolist(), high[example[new]].tolist(), strict=True)]
+            row[new] = self._add(words)
+            order = np.argsort(merged := np.concatenate((self._hash, values[new])), kind="stable")
+            self._hash, self._row = merged[order], np.concatenate((self._row, row[new]))[order]
+        out = row[which]
+        kept = Stretches(bytes(self._data))
+        for i in np.flatnonzero(~text.same(low, high, kept, self._low[out], self._high[out])).tolist():
+            word = text.data[low[i] : high[i]]
+            if word not in self._clash:
+                self._clash[word] = int(self._add([word])[0])
+            out[i] = self._clash[word]
+        return out
+
+    def _add(self, words: list[bytes]) -> np.ndarray:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        high = len(self._data) + np.cumsum(sizes)
+        rows = len(self._low) + np.arange(len(words))
+        self._low, self._high = np.concatenate((self._low, high - sizes)), np.concatenate((self._high, high))
+        self._data += b"".join(words)
+        self._new += words
+        return rows
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The text of each run of ids; bytes that are not UTF-8 become U+FFFD."""
@@ -351,18 +337,6 @@ class Encoder:
         return [flat[a:b].decode("utf-8", "replace") for a, b in zip(until[:-1], until[1:], strict=True)]
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(vocab) -> Encoder:
-    """The encoder of a broadcast vocabulary, kept for the tasks that follow in this worker."""
-    key = id(vocab.value)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocab.value)
-    return _ENCODERS[key]
-
-
 def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", decode: bool = True) -> DataFrame:
     """``df`` with ``ids`` (little-endian unsigned 32-bit, as binary), ``n_tokens`` and ``decoded``.
 
@@ -380,11 +354,11 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", de
     schema = T.StructType([*given.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocab)
+        encoder = Encoder(vocab.value)
         for whole in batches:
             texts = pc.fill_null(whole.column(at).cast(pa.string()), "")
             for low, high in sliced(texts, INDEX_BYTES):
-                spans = [(low + a, low + b) for a, b in sliced(texts.slice(low, high - low), SLICE_BYTES // 2)]
+                spans = [(low + a, low + b) for a, b in sliced(texts.slice(low, high - low), SPLIT_BYTES)]
                 for (start, end), (ids, counts) in zip(spans, encoder.encode([texts.slice(a, b - a).to_pylist() for a, b in spans]), strict=True):
                     flat, until = ids.astype("<u4").tobytes(), (4 * np.concatenate(([0], np.cumsum(counts)))).tolist()
                     new = [pa.array([flat[a:b] for a, b in zip(until[:-1], until[1:], strict=True)], pa.binary()), pa.array(counts, pa.int64())]
@@ -393,7 +367,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", de
                     part = whole.slice(start, end - start)
                     yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f.name for f in added)])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(frugal(run), schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import functools
 import gc
+import hashlib
 import inspect
 import math
 import uuid
@@ -36,22 +36,25 @@ def release() -> None:
 def frugal(run: Callable) -> Callable:
     """``run``, a function of batches or of tables, with :func:`release` when it ends."""
 
-    @functools.wraps(run)
-    def tables(*args):
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            out = run(*args)
+            yield from run(given)
         finally:
             release()
-        return out
 
-    @functools.wraps(run)
-    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(rows: pa.Table) -> pa.Table:
         try:
-            yield from run(given)
+            return run(rows)
+        finally:
+            release()
+
+    def tables(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
         finally:
             release()
 
-    return batches if inspect.isgeneratorfunction(run) else tables
+    return batches if inspect.isgeneratorfunction(run) else table if len(inspect.signature(run).parameters) == 1 else tables
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -113,3 +116,66 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
+
+
+_U = np.uint64
+_rng = np.random.default_rng(20250311)
+_LANES = [tuple(_U(int(x) | 1) for x in _rng.integers(1 << 60, 1 << 63, 4)) for _ in range(2)]
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes from which on a word is hashed and compared by itself.
+LONG_WORD = 2048
+
+
+def mixed(h: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit numbers; a lane's has nothing to do with the other's."""
+    a, b, _, _ = _LANES[lane]
+    h = (h ^ (h >> _U(32))) * a
+    h = (h ^ (h >> _U(29))) * b
+    return h ^ (h >> _U(32))
+
+
+class Stretches:
+    """Bytes of which many stretches are hashed or compared at once, eight bytes a step."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.words = np.ndarray((len(data) + 1,), "<u8", buffer=data + bytes(8), strides=(1,))
+
+    def _steps(self, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray | slice, int]]:
+        """(which stretches, step) of those that reach into each step, long ones left out."""
+        some: np.ndarray | slice = slice(None)
+        at = np.flatnonzero(sizes <= LONG_WORD) if (sizes > LONG_WORD).any() else None
+        if at is not None:
+            some = at
+        k = 0
+        while len(sizes[some]):
+            yield some, k
+            k += 1
+            left = sizes[some] > 8 * k
+            some = np.flatnonzero(left) if isinstance(some, slice) else some[left]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of each stretch, mixed after every eight bytes."""
+        sizes = ends - starts
+        h = mixed(sizes.astype(np.uint64) * _LANES[lane][2] + _LANES[lane][3], lane)
+        for some, k in self._steps(starts, sizes):
+            part = self.words[starts[some] + 8 * k] & _MASKS[np.minimum(sizes[some] - 8 * k, 8)]
+            h[some] = mixed(h[some] ^ part, lane)
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : ends[i]], digest_size=8, salt=bytes([lane])).digest(), "little")
+        return h
+
+    def same(self, starts: np.ndarray, ends: np.ndarray, other: Stretches, at: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """Whether each stretch has the bytes of ``other``'s stretch beside it."""
+        sizes = ends - starts
+        out = sizes == until - at
+        these = np.flatnonzero(out)
+        a, b, n = starts[these], at[these], sizes[these]
+        for some, k in self._steps(a, n):
+            x, y = self.words[a[some] + 8 * k], other.words[b[some] + 8 * k]
+            differ = (x ^ y) & _MASKS[np.minimum(n[some] - 8 * k, 8)] != 0
+            if differ.any():
+                out[these[some][differ]] = False
+        for i in np.flatnonzero(n > LONG_WORD).tolist():
+            out[these[i]] = self.data[a[i] : a[i] + n[i]] == other.data[b[i] : b[i] + n[i]]
+        return out

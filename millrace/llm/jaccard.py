@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, sliced, table, units
+from millrace.llm.common import Stretches, checkpointed, frugal, mixed, sliced, table, units
 from millrace.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -40,39 +40,23 @@ LEAST_UNITS = 48
 
 _U = np.uint64
 _rng = np.random.default_rng(20240606)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = [_U(int(x) | 1) for x in _rng.integers(1 << 40, 1 << 62, 10)]
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_POWERS: dict[str, np.ndarray] = {}
+def shingles(texts: list[str | None], lanes: int = 1) -> tuple[np.ndarray, ...]:
+    """The distinct shingle hashes of all texts, ordered by text and hash, and each text's number of them.
 
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _ODD[0]
-    h = (h ^ (h >> _U(27))) * _ODD[1]
-    return h ^ (h >> _U(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        inverse = _U(pow(int(_ODD[3]), -1, 1 << 64))
-        _POWERS["up"], _POWERS["down"] = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x)))) for x in (_ODD[3], inverse))
-    return _POWERS["up"], _POWERS["down"]
-
-
-def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of all texts, ordered by text and hash, and each text's number of them."""
+    With two ``lanes`` the second hashes of the same shingles come before the numbers: what
+    decides that sets or shingles are the same goes by 128 bits.
+    """
     raw = [(x or "").encode("utf-8", "replace").lower() for x in texts]
     data = b" ".join(raw)
     if not data:
-        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
+        return *(np.zeros(0, np.uint64) for _ in range(lanes)), np.zeros(len(raw), np.int64)
     buf = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(_IS_WORD[buf], prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    word = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[4])
+    stretches = Stretches(data)
     low = np.cumsum([0, *(len(x) + 1 for x in raw)])
     first = np.searchsorted(starts, low)
     n = np.diff(first)  # words of each text
@@ -81,15 +65,21 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(raw)), count)
     at = np.repeat(first[:-1] - np.cumsum(count) + count, count) + np.arange(count.sum())
     size = np.minimum(n[text], WORDS)
-    h = size.astype(np.uint64) * _ODD[5]
-    for i in range(WORDS):
-        h = np.where(size > i, h * _ODD[6] + word[np.minimum(at + i, len(word) - 1)] if len(word) else h, h)
-    h = _mix(h)
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
+    short = size < WORDS
+    found = []
+    for lane in range(lanes):
+        word = stretches.hashes(starts, ends, lane)
+        h = size.astype(np.uint64) * _ODD[5 + lane]
+        for i in range(WORDS):
+            if len(word):
+                more = mixed(h, lane) + word[np.minimum(at + i, len(word) - 1)]
+                h = np.where(short & (size <= i), h, more) if i and short.any() else more
+        found.append(mixed(h, lane))
+    order = np.lexsort((found[0], text))
+    h, text = found[0][order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return h[new], np.bincount(text[new], minlength=len(raw))
+    return *(x[order][new] for x in found), np.bincount(text[new], minlength=len(raw))
 
 
 def _bands(most: int = 1 << 40) -> list[tuple[int, int]]:
@@ -133,18 +123,18 @@ def keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         t, x = text[mine], h[mine]
         at = base[t] + ((x >> _U(20)) % p[t].astype(np.uint64)).astype(np.int64)
         value, full = np.zeros(int(p.sum()), np.uint64), np.zeros(int(p.sum()), bool)
-        np.bitwise_xor.at(value, at, _mix(x + _ODD[7]))
+        np.bitwise_xor.at(value, at, mixed(x + _ODD[7]))
         full[at] = True
         owner = np.repeat(np.arange(len(n)), p)
         piece = np.arange(len(value)) - base[owner]
-        key = _mix(value + _mix(piece.astype(np.uint64) * _ODD[8] + band[owner].astype(np.uint64)))
+        key = mixed(value + mixed(piece.astype(np.uint64) * _ODD[8] + band[owner].astype(np.uint64)))
         out.append((owner[full], key[full]))
         # Sets with so many empty pieces that the untouched ones might all be empty.
         partner = np.minimum(BANDS[band, 1], n * DENOMINATOR // NUMERATOR)
         empty = p - np.bincount(owner, weights=full, minlength=len(n)).astype(np.int64)
         for i in np.flatnonzero(use & (empty >= p - difference(n, partner))).tolist():
             head = h[starts[i] : starts[i] + n[i] - -(-n[i] * NUMERATOR // DENOMINATOR) + 1]
-            out.append((np.full(len(head), i), _mix(head * _ODD[9] + _U(int(band[i])))))
+            out.append((np.full(len(head), i), mixed(head * _ODD[9] + _U(int(band[i])))))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate([o for o, _ in out]), np.concatenate([k for _, k in out])
@@ -174,21 +164,19 @@ def fold(blobs: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, shingles, sizes) of a few rows at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], lanes: int = 1) -> Iterator[tuple]:
+    """(ids, shingles of each lane, sizes) of a few rows at a time."""
     for b in batches:
         texts = pc.fill_null(b.column(1), "")
         for low, high in sliced(texts, HASH_BYTES):
-            h, n = shingles(texts.slice(low, high - low).to_pylist())
-            yield b.column(0).slice(low, high - low), h, n
+            yield b.column(0).slice(low, high - low), *shingles(texts.slice(low, high - low).to_pylist(), lanes)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, h, n in _blocks(batches):
-        done = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _ODD[2]))))
-        also = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h + _ODD[3]))))
+    for ids, h, h2, n in _blocks(batches, 2):
         ends = np.cumsum(n)
-        one, two = (x[ends] - x[ends - n] for x in (done, also))
+        sums = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(x)))) for x in (h, h2))
+        one, two = (x[ends] - x[ends - n] for x in sums)
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketches(h, n), pa.binary())], ["id", "n", "one", "two", "sketch"])
 
 
@@ -200,7 +188,7 @@ def _candidates(docs: DataFrame, n_units: int) -> DataFrame:
             ids = ids_.to_numpy()
             # Of equal sets met together the first stands for all.
             ends = np.cumsum(n)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _ODD[2]))))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(h ^ _ODD[2]))))
             total = sums[ends] - sums[ends - n]
             order = np.lexsort((ids, total, n))
             first = np.ones(len(n), bool)
@@ -237,12 +225,20 @@ def _candidates(docs: DataFrame, n_units: int) -> DataFrame:
         gid = value[keep].astype(np.int64) * n_units + rows["unit"][0].as_py()
         return pa.table({"gid": pa.array(gid, pa.int64()), "id": pa.array(doc[keep], pa.int64())})
 
-    return docs.mapInArrow(send, "unit int, blob binary").groupBy("unit").applyInArrow(meet, "gid long, id long")
+    return docs.mapInArrow(frugal(send), "unit int, blob binary").groupBy("unit").applyInArrow(frugal(meet), "gid long, id long")
+
+
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Marks the shingles of ``a``, by two hashes each, that the set ``b``, ordered by the first, has."""
+    if not len(b[0]):
+        return np.zeros(len(a[0]), bool)
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    return (b[0][at] == a[0]) & (b[1][at] == a[1])
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+def _linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    both = int(_common(a, b).sum())
+    return DENOMINATOR * both >= NUMERATOR * (len(a[0]) + len(b[0]) - both)
 
 
 def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -267,7 +263,7 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 links += _star(whole.slice(low, high - low))
             yield _pairs([x for x, _ in links], [x for _, x in links])
 
-    return stars.select("hub", "part", "id", "text").mapInArrow(check, "a long, b long")
+    return stars.select("hub", "part", "id", "text").mapInArrow(frugal(check), "a long, b long")
 
 
 def _star(rows: pa.RecordBatch) -> list[tuple[int, int]]:
@@ -277,16 +273,17 @@ def _star(rows: pa.RecordBatch) -> list[tuple[int, int]]:
     for i, t in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), strict=True):
         texts[i] = min(t or "", texts.get(i, t or ""))
     every = sorted(texts)
-    h, n = shingles([texts[i] for i in every])
-    sets = dict(zip(every, np.split(h, np.cumsum(n)[:-1]), strict=True))
+    h, h2, n = shingles([texts[i] for i in every], 2)
+    cuts = np.cumsum(n)[:-1]
+    sets = dict(zip(every, zip(np.split(h, cuts), np.split(h2, cuts), strict=True), strict=True))
     links = [(i, hub) for i in every if i != hub and _linked(sets[i], sets[hub])]
     apart = sorted(set(every) - {hub} - {i for i, _ in links})
     if apart and len(every) > 2:
         begin = np.concatenate(([0], np.cumsum(n)))
         for i in apart:
-            inside = np.concatenate(([0], np.cumsum(np.isin(h, sets[i]))))
+            inside = np.concatenate(([0], np.cumsum(_common((h, h2), sets[i]))))
             both = inside[begin[1:]] - inside[begin[:-1]]
-            hit = np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (n + len(sets[i]) - both))
+            hit = np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (n + len(sets[i][0]) - both))
             links += [(i, every[k]) for k in hit.tolist() if every[k] != i]
     return links
 
@@ -391,7 +388,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = docs.filter("id IS NOT NULL")
     columns = "id long, n long, one long, two long, sketch binary"
-    measured = checkpointed(known.mapInArrow(_measure, columns))
+    measured = checkpointed(known.mapInArrow(frugal(_measure), columns))
     some = measured.filter("n > 0")
     # Equal sets: the smallest id stands for all.
     first = some.groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
@@ -402,7 +399,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = marks.groupBy("m", "x", "low", "high").agg(F.min("gid").alias("gid")).select("gid")
     sketch = some.select("id", "n", "sketch").join(reps.filter("id = rep").select("id"), "id").dropDuplicates(["id"])
     groups = checkpointed(groups.join(chosen, "gid").join(sketch, "id").select("gid", "id", "n", "sketch"))
-    to_hubs = groups.repartition("gid").sortWithinPartitions("gid", "id").mapInArrow(_to_hubs, "a long, b long, distance long")
+    to_hubs = groups.repartition("gid").sortWithinPartitions("gid", "id").mapInArrow(frugal(_to_hubs), "a long, b long, distance long")
     best = to_hubs.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
     copies = reps.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = checkpointed(_verify(known, best).union(copies))
@@ -411,7 +408,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = groups.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid")
     rest = placed.join(apart, "gid").select("gid", "id", "component", "n", "sketch").repartition("gid").sortWithinPartitions("gid", "id")
-    pairs = checkpointed(rest.mapInArrow(_across, "a long, b long, distance long").distinct())
+    pairs = checkpointed(rest.mapInArrow(frugal(_across), "a long, b long, distance long").distinct())
     # One link joins two components: the nearest pairs of each two are verified first, then more, then all.
     for most in FIRST_PAIRS:
         ends = [parts.select(F.col("id").alias(c), F.col("component").alias(f"p{c}")) for c in ("a", "b")]
@@ -425,7 +422,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if most is not None:
             pairs = open_.filter(F.col("k") > most).select("a", "b", "distance")
     out = measured.select("id", F.col("n").alias("n_shingles")).join(parts, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    lost = docs.filter("id IS NULL").mapInArrow(_measure, columns)
+    lost = docs.filter("id IS NULL").mapInArrow(frugal(_measure), columns)
     return out.unionByName(lost.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
 
 

@@ -27,6 +27,24 @@ def test_like_the_library():
     assert [x.tolist() for x in ids] == [w.ids for w in wanted] and back == texts
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_with_equal_hashes(monkeypatch):
+    word = thue_morse(2048)
+    texts = [word, word.translate({97: 98, 98: 97}), "q" * 5000, "q" * 4999 + "p", "’’ “x” 日本語 héllo 🙂 " * 3, *ODD]
+    wanted = [w.ids for w in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    ids, back = encoded(texts)
+    assert [x.tolist() for x in ids] == wanted and back == texts
+    real = bpe.Stretches.hashes
+    monkeypatch.setattr(bpe.Stretches, "hashes", lambda *a: real(*a) & np.uint64(3))  # nearly all words collide
+    e = bpe.Encoder(bpe.Vocabulary(PATH))
+    for _ in range(2):
+        ((flat, counts),) = list(e.encode([texts]))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == wanted
+
+
 def test_broken_bytes_decode_like_the_library():
     t = Tokenizer.from_file(PATH)
     ids = t.encode("日本", add_special_tokens=False).ids[:-1]

@@ -104,6 +104,13 @@ def test_jaccard(spark):
     assert jaccard.link_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_words_alike(spark):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    docs = [(1, word), (2, word.translate({97: 98, 98: 97})), (3, word + " "), (4, "z" * 9000), (5, "z" * 8999 + "y"), (6, "z" * 9000)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 4}
+
+
 def test_keys_are_shared_by_linked_sets():
     rng = np.random.default_rng(8)
     for _ in range(400):
