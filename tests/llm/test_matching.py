@@ -1,7 +1,7 @@
+import hashlib
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard, neighbours, substrings
@@ -152,35 +152,56 @@ def without_repeats(rows):
     return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
 
 
-@pytest.mark.parametrize("wide", [substrings.WIDE_CLASSES, 1])
-def test_substrings(spark, wide):
+def test_substrings(spark, monkeypatch):
     rng = random.Random(4)
     piece = lambda n: "".join(rng.choice("abé \n") for _ in range(n))
     shared = [piece(n) for n in (30, 48, 50, 51, 90, 300)]
     docs = [(i, "".join(rng.choice([piece(rng.randint(0, 60)), rng.choice(shared)]) for _ in range(rng.randint(0, 6)))) for i in range(120)]
-    docs += [(None, "x" * 60), (-1, None), (-2, ""), (300, "ab" * 100), (301, "ab" * 40), (301, "ab" * 41), (302, "ba" * 25), (303, docs[5][1]), (304, docs[5][1]), (305, "\0" * 70), (306, "\0" * 60)]
+    docs += [(None, "x" * 60), (None, "x" * 60), (-1, None), (-2, ""), (300, "ab" * 100), (301, "ab" * 40), (301, "ab" * 41), (302, "ba" * 25), (303, docs[5][1]), (304, docs[5][1]), (305, "\0" * 70), (306, "\0" * 60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("kept", F.lit(1))
-    old, substrings.WIDE_CLASSES = substrings.WIDE_CLASSES, wide
-    try:
+    show = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    wanted = without_repeats([(i, (t or "").encode()) for i, t in docs])
+    for _ in range(2):  # once more with blocks of few strings, and hashes of contents that nearly all collide
         got = [(r["doc_id"], r["n_bytes"], bytes(r["kept"]), [tuple(s) for s in r["spans"]]) for r in substrings.remove_repeats(df).collect()]
-    finally:
-        substrings.WIDE_CLASSES = old
-    assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2])) == without_repeats([(i, (t or "").encode()) for i, t in docs])
+        assert show(got) == wanted
+        real = substrings.Stretches.hashes
+        monkeypatch.setattr(substrings.Stretches, "hashes", lambda *a, real=real: real(*a) & np.uint64(1))
+        monkeypatch.setattr(substrings, "BLOCK_STRINGS", 64)
+    monkeypatch.undo()
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substrings_query(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    source.write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = {i: (n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, kept, spans in without_repeats([(r["doc_id"], r["text"].encode()) for r in source.collect()])}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.op5_substrings(spark, str(tmp_path)).collect()}
+    assert got == wanted
+
+
+def test_substrings_of_a_long_text(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(4_000_000))
+    df = spark.createDataFrame([(1, long), (2, "new " + long[3_999_000:] + " end"), (3, long[:60])], "doc_id long, text string")
+    got = {r["doc_id"]: (bytes(r["kept"]).decode(), [tuple(s) for s in r["spans"]]) for r in substrings.remove_repeats(df).collect()}
+    assert got == {1: (long, []), 2: ("new  end", [(4, 1004)]), 3: ("", [(0, 60)])}
+
+
 def test_intervals_of_the_transform():
     rng = random.Random(2)
-    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 90))) for _ in range(30)]
-    pieces += [p[3:70] for p in pieces[:10] if len(p) > 60]
-    docs = np.arange(len(pieces))
-    first = {}
-    for d, p in enumerate(pieces):
-        for i in range(len(p) - 49):
-            first.setdefault(p[i : i + 50], d)
-    got = substrings.repeated(pieces, docs)
-    for d, p in enumerate(pieces):
-        assert got[d].tolist() == [i for i in range(len(p) - 49) if first[p[i : i + 50]] < d]
+    for letters in (b"ab", b"abcdefgh"):
+        pieces = [bytes(rng.choice(letters) for _ in range(rng.randint(50, 90))) for _ in range(30)]
+        pieces += [p[3:70] for p in pieces[:10] if len(p) > 60] + [b"a" * 80, b"a" * 60, b"ab" * 40]
+        low = np.array([rng.randrange(20) for _ in pieces])
+        high = low + np.array([rng.choice((0, 0, 3)) for _ in pieces])
+        least, most = {}, {}
+        for p, a, b in zip(pieces, low.tolist(), high.tolist(), strict=True):
+            for i in range(len(p) - 49):
+                x = p[i : i + 50]
+                least[x], most[x] = min(a, least.get(x, a)), max(b, most.get(x, b))
+        got = substrings.least_documents(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]), low, high)
+        every = [p[i : i + 50] for p in pieces for i in range(len(p) - 49)]
+        assert got.tolist() == [least[x] if least[x] != most[x] else np.iinfo(np.int32).max for x in every]
 
 
 def nearest(ids, x, k):
