@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import table
+from millrace.llm.common import frugal, table
 
-#: Characters of an item for each error that is allowed in it, and the least that an item must have.
-CHARS_PER_ERROR, LEAST_CHARS = 16, 24
+#: Characters of an item for each error that is allowed in it, and those under which it must stand as it is, as whole words.
+CHARS_PER_ERROR, WHOLE_CHARS = 16, 24
 #: Bytes of item text in one block; a benchmark of more is scanned for in several passes.
 BLOCK_BYTES = 2 << 20
 
@@ -62,7 +62,7 @@ class Matcher:
     """Finds items, (id, normal text), in normal texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t, len(t) // CHARS_PER_ERROR) for i, t in items if len(t) >= LEAST_CHARS]
+        self.items = [(i, t, len(t) // CHARS_PER_ERROR if len(t) >= WHOLE_CHARS else 0) for i, t in items if t]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, e) in enumerate(self.items):
             cuts = [len(t) * j // (e + 1) for j in range(e + 2)]
@@ -87,6 +87,10 @@ class Matcher:
                     continue
                 tried.add((k, at))
                 _, item, e = self.items[k]
+                if len(item) < WHOLE_CHARS:
+                    if not (text[at - 1 : at].isalnum() and at or text[at + len(item) : at + len(item) + 1].isalnum()):
+                        best[k] = 0
+                    continue
                 near = text[max(0, at - e) : at + len(item) + e]
                 d = 0 if item in near else myers(item, near, e)
                 if d <= e and d < best.get(k, e + 1):
@@ -129,7 +133,7 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str
                     new = [[*o, *({"item_id": i, "distance": d} for i, d in f)] for o, f in zip(old, found, strict=True)]
                     yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, kind)], b.schema.names)
 
-        out = out.mapInArrow(run, T.StructType(schema.fields))
+        out = out.mapInArrow(frugal(run), T.StructType(schema.fields))
     return out if blocks == 1 else out.withColumn(name, F.array_sort(name))
 
 

@@ -3,7 +3,7 @@
 Fixed patterns give spans of three kinds. A fourth kind comes from candidate strings, runs
 of key characters: a window slides over each run, the counts of its characters are kept
 by adding the character that enters and taking off the one that leaves, and from them
-the Shannon entropy of the window follows in constant time. Runs whose windows reach the
+the Shannon entropy of the window follows in constant time, whatever the length of the run. Runs whose windows reach the
 threshold of their character class are spans, unless the allow-list knows the run or a
 fixed pattern has it already. Offsets are code points, ends are exclusive.
 """
@@ -27,6 +27,8 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: Characters of candidate strings, and the length from which a run of them is one.
 RUN = "[A-Za-z0-9+/_=-]"
 WINDOW = 20
+#: Window starts of a run that are measured together, and numbers that hold a window's counts.
+BLOCK, LANES = 512, 7
 #: Entropy in bits that a window must reach, by the run's character class.
 THRESHOLDS = {"hex": 3.055, "alnum": 3.755, "base64": 3.855}
 #: Runs that are no secrets: no digit or no letter in them, placeholders, UUIDs, dates.
@@ -78,28 +80,63 @@ def _spans(text: Column, pattern: str, keep, *groups: int) -> Column:
 def _entropy(run: Column) -> Column:
     """Spans in a run of the windows that reach its class's threshold, those that touch joined.
 
-    ``sum`` is the sum of c * log2(c) over the counts c of the window's characters; one
-    character in and one out change two of its terms.
+    A run is measured in blocks of ``BLOCK`` window starts, so that time and memory grow with its
+    length and no faster.
     """
-    term = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)))
     least = F.when(run.rlike("^[0-9a-fA-F]*$"), THRESHOLDS["hex"]).when(run.rlike("^[A-Za-z0-9]*$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
-    code = lambda i: F.ascii(F.substring(run, i + 1, F.lit(1)))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(_SPAN).alias("out"))
+    cut = F.lit(f"(?s)(.{{1,{BLOCK}}})(?=(.{{0,{WINDOW - 1}}}))")
+    blocks = F.zip_with(F.regexp_extract_all(run, cut, F.lit(1)), F.regexp_extract_all(run, cut, F.lit(2)), lambda a, b: F.concat(a, b))
+    moved = lambda b, k: F.transform(_high(b["text"], b["least"]), lambda s: F.struct((s["start"] + k * BLOCK).alias("start"), (s["end"] + k * BLOCK).alias("end")))
+    # The threshold goes with each block, so that it is found once.
+    known = F.transform(F.array(F.struct(blocks.alias("texts"), least.alias("least"))), lambda x: F.transform(x["texts"], lambda t: F.struct(t.alias("text"), x["least"].alias("least"))))
+    return _once(F.flatten(F.transform(F.flatten(known), moved)), _joined)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is found once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    def step(acc: Column, i: Column) -> Column:
-        came, left = code(i), F.when(i >= WINDOW, code(i - WINDOW)).otherwise(F.lit(-1))
-        was_left = F.when(left >= 0, F.get(acc["counts"], left)).otherwise(F.lit(0))
-        was_came = F.get(acc["counts"], came) - F.when(left == came, 1).otherwise(0)
-        gone = F.when(left >= 0, F.get(term, was_left - 1) - F.get(term, was_left)).otherwise(F.lit(0.0))
-        total = acc["sum"] + gone + F.get(term, was_came + 1) - F.get(term, was_came)
-        counts = F.transform(acc["counts"], lambda v, k: v + F.when(k == came, 1).otherwise(0) - F.when(k == left, 1).otherwise(0))
-        hit = (i >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least)
-        low, high, n = (i - (WINDOW - 1)).cast("bigint"), (i + 1).cast("bigint"), F.size(acc["out"])
-        before = F.get(acc["out"], n - 1)
-        joined = F.when((n > 0) & (before["end"] >= low), F.concat(F.slice(acc["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(before["start"].alias("start"), high.alias("end")))))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hit, F.coalesce(joined, F.concat(acc["out"], F.array(F.struct(low.alias("start"), high.alias("end")))))).otherwise(acc["out"]).alias("out"))
+def _joined(spans: Column) -> Column:
+    """Sorted spans, those that touch as one."""
+    starts = F.filter(spans, lambda s, k: (k == 0) | (F.get(spans, k - 1)["end"] < s["start"]))
+    ends = F.filter(spans, lambda s, k: (k == F.size(spans) - 1) | (F.get(spans, k + 1)["start"] > s["end"]))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), start, step, lambda acc: acc["out"])
+
+def _high(text: Column, least: Column) -> Column:
+    """Spans in a block of the windows that reach ``least`` bits, those that touch joined.
+
+    The counts of a window's characters are fields of 5 bits, twelve to a number; ``sum`` is the
+    sum of c * log2(c) over them. One character in and one out change two of its terms.
+    """
+    term = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)))
+    place = lambda c: F.struct(F.floor((F.ascii(c) - 43) / 12).cast("int").alias("lane"), ((F.ascii(c) - 43) % 12 * 5).alias("shift"))
+    unit = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), p["shift"])
+    full = lambda p: F.struct(p["lane"].alias("lane"), p["shift"].alias("shift"), unit(p).alias("unit"))
+    codes = F.transform(F.transform(F.split(text, ""), place), full)
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), LANES).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(_SPAN).alias("out"))
+
+    def walk(codes: Column) -> Column:
+        count = lambda counts, p: F.call_function("shiftright", F.get(counts, p["lane"]), p["shift"]).bitwiseAND(31).cast("int")
+
+        def step(acc: Column, i: Column) -> Column:
+            came, left = F.get(codes, i), F.get(codes, i - WINDOW)  # null while the first window fills
+            was_left = count(acc["counts"], left)
+            same = (left["lane"] == came["lane"]) & (left["shift"] == came["shift"])
+            was_came = count(acc["counts"], came) - F.when(same, 1).otherwise(0)
+            gone = F.coalesce(F.get(term, was_left - 1) - F.get(term, was_left), F.lit(0.0))
+            total = acc["sum"] + gone + F.get(term, was_came + 1) - F.get(term, was_came)
+            counts = F.transform(acc["counts"], lambda v, k: v + F.when(k == came["lane"], came["unit"]).otherwise(0) - F.when(k == left["lane"], left["unit"]).otherwise(0))
+            hit = (i >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least)
+            low, high, n = (i - (WINDOW - 1)).cast("bigint"), (i + 1).cast("bigint"), F.size(acc["out"])
+            before = F.get(acc["out"], n - 1)
+            joined = F.when((n > 0) & (before["end"] >= low), F.concat(F.slice(acc["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(before["start"].alias("start"), high.alias("end")))))
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hit, F.coalesce(joined, F.concat(acc["out"], F.array(F.struct(low.alias("start"), high.alias("end")))))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda acc: acc["out"])
+
+    return _once(codes, walk)
 
 
 def _uncovered(run: Column, base: Column) -> Column:
@@ -203,6 +240,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: spans of each fixed kind, their hash, and all spans."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), parts=True)
     base = F.filter("secrets", lambda s: s["kind"] != KINDS[3])
     return found.select("doc_id", *map(_count, KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))

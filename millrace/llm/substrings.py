@@ -407,7 +407,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         removed = np.cumsum(change[:-1]) > 0
         edge = np.flatnonzero(np.diff(removed, prepend=False, append=False))
         # Runs end with their texts.
-        cuts = c.every[1:-1][removed[np.minimum(c.every[1:-1], len(removed) - 1)] & removed[c.every[1:-1] - 1] & (c.every[1:-1] > 0) & (c.every[1:-1] < len(removed))] if len(removed) else c.every[:0]
+        inner = np.unique(c.every[(c.every > 0) & (c.every < len(removed))])
+        cuts = inner[removed[inner] & removed[inner - 1]]
         begin, end = np.sort(np.concatenate((edge[::2], cuts))), np.sort(np.concatenate((edge[1::2], cuts)))
         of = np.searchsorted(c.every, begin, side="right") - 1
         sizes = np.diff(c.every)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ def test_myers():
 def test_decontamination(spark):
     rng = random.Random(6)
     item = lambda: "".join(rng.choice("abcdefgh  ") for _ in range(rng.randint(30, 120)))
-    items = [(i, item()) for i in range(12)] + [(50, None), (51, "short"), (3, None)]
+    items = [(i, item()) for i in range(12)] + [(50, None), (51, "short"), (52, ""), (53, "be 20 chars exactly?"), (3, None)]
     docs = [(0, None), (1, ""), (2, items[0][1].upper().replace(" ", "\n ")), (3, items[0][1] + " " + items[1][1])]
+    docs += [(4, "a SHORT one"), (5, "shorter"), (6, "to be 20 chars\nexactly? no"), (7, "xbe 20 chars exactly?"), (8, "x " * 100000 + items[2][1] + " short")]
     for k in range(60):
         t = list(rng.choice(items[:12])[1])
         for _ in range(rng.randint(0, 9)):
@@ -44,7 +46,8 @@ def test_decontamination(spark):
         for k, t in items:
             t = decontaminate.normal(t or "")
             d = distance(t, decontaminate.normal(text or ""))
-            if len(t) >= decontaminate.LEAST_CHARS and d <= len(t) // decontaminate.CHARS_PER_ERROR:
+            exact = re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", decontaminate.normal(text or "")) if t else None
+            if exact if len(t) < decontaminate.WHOLE_CHARS else d <= len(t) // decontaminate.CHARS_PER_ERROR:
                 wanted.setdefault(i, []).append((k, d))
     got = {r["doc_id"]: [tuple(x) for x in r["leaks"]] for r in decontaminate.find(df, bench).collect()}
     assert len(got) == len(docs) and {k: v for k, v in got.items() if v} == wanted
@@ -54,11 +57,10 @@ def test_decontamination(spark):
     finally:
         decontaminate.BLOCK_BYTES = old
     assert again == got and decontaminate.find(df, bench.limit(0)).filter(F.size("leaks") > 0).count() == 0
+    assert decontaminate.find(df.limit(0), bench).count() == 0
 
 
 def words(text):
-    import re
-
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 

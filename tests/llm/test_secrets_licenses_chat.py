@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -70,6 +71,20 @@ def test_secrets_beside_others(spark, tmp_path):
     assert [left[i] for i in range(5, 8)] == texts[5:8] and left[8] == "[SECRET]/short1"
 
 
+def test_secrets_in_long_runs(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    random_run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    mixed = lambda n: "".join(rng.choice(["a" * 25 + "1", random_run(rng.randint(15, 40))]) for _ in range(n))
+    texts = ["see " + random_run(511 + k) + " end" for k in (0, 1, 2, 19, 20, 21, 533)] + ["x " + mixed(60) for _ in range(6)] + ["1" + "ab" * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df).select("text", secrets.listed(F.col("secrets")).alias("s")).collect():
+        assert r["s"] == spans_of(r["text"])[1]
+    began = time.time()
+    (r,) = secrets.scan(spark.createDataFrame([(1, "key " + random_run(1 << 20))], "doc_id long, text string"), parts=True).select(secrets.listed(F.col("secrets")).alias("s")).collect()
+    assert r["s"].startswith("entropy:4:") and r["s"].endswith(f":{4 + (1 << 20)}") and time.time() - began < 120
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
