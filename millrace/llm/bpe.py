@@ -371,6 +371,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", de
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its number of tokens, and hashes of its ids and of the decoded text."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -427,4 +427,5 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: the size of its set and the smallest document that links reach."""
     return link_components(table(spark, sf_dir, "documents"))

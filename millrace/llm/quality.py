@@ -179,6 +179,7 @@ def score(df: DataFrame, ensemble: Ensemble, text_col: str = "text") -> DataFram
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: whether it was held out, its score and what that predicts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -179,19 +179,19 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
 
-def scan(df: DataFrame, text_col: str = "text", parts: bool = False) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", parts: bool = False, name: str = "secrets") -> DataFrame:
     """``df`` with ``secrets``: array<struct<start, kind, end>> in the order of start, then kind.
 
     Narrow and without Python: each text is scanned whole by itself. A null or empty text
     has no spans; repeated rows are scanned each by itself; columns of ``df`` stay, but one
-    that is named ``secrets`` is replaced.
+    that is named ``name`` is replaced.
 
     A run that touches a fixed pattern's span, or has an allowed word or date anywhere, gives
     no entropy span. With ``parts`` only the covered part of it gives none: the stretches of
     ``WINDOW`` characters or more between the fixed spans are measured by themselves, an
     allowed word excuses only the high stretch it stands in, and a date only a run that is one.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns if c != "secrets"]
+    keep = [F.col(f"`{c}`") for c in df.columns if c != name]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     found = df.select(
         *keep,
@@ -216,7 +216,7 @@ def scan(df: DataFrame, text_col: str = "text", parts: bool = False) -> DataFram
     found = found.withColumn("__entropy", extra)
     named = [_kind(f"__{k}", i) for i, k in enumerate(KINDS)]
     out = F.transform(F.array_sort(F.concat(*named)), lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["end"].alias("end")))
-    return found.select(*keep, out.alias("secrets"))
+    return found.select(*keep, out.alias(name))
 
 
 def listed(spans: Column) -> Column:
@@ -224,8 +224,8 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with the spans of :func:`scan` with ``parts`` replaced by ``mark``; overlapping spans count as one."""
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", name: str = "secrets") -> DataFrame:
+    """``df`` with the spans of :func:`scan` with ``parts`` replaced by ``mark``; overlapping spans count as one; ``name`` is a column of its own meanwhile."""
     text = F.col(f"`{text_col}`")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -234,9 +234,9 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
         new = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (low - acc["at"]).cast("int")), F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    cut = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    found = scan(df, text_col, parts=True)
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, cut).otherwise(text)).drop("secrets")
+    cut = F.aggregate(name, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    found = scan(df, text_col, parts=True, name=name)
+    return found.withColumn(text_col, F.when(F.size(name) > 0, cut).otherwise(text)).drop(name)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -46,3 +47,29 @@ def test_stages(spark, tmp_path):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, ROOT).count() > 100 and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, empty and repeated rows, one long text and columns with clashing names, through each stage."""
+    base = spark.read.parquet(f"{ROOT}/documents.parquet")
+    extra = [c for c in ("score", "leaks", "secrets", "_score")]
+    text = "one two three four five six seven eight nine ten eleven twelve " * 3
+    rows = [(-1, None), (-2, ""), (-2, ""), (-3, text), (-3, text), (-4, text), (None, text), (None, None), (-5, "w" * 300000 + " token=abcdefgh"), (-6, "same " * 40000)]
+    odd = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.limit(40).select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd)
+    for c in extra:
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, ROOT)
+        got.write.parquet(str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name))
+        left = [(r["doc_id"], r["text"] if "text" in got.columns else None) for r in got.collect() if r["doc_id"] is None or r["doc_id"] < 0]
+        assert all(got.filter(F.col(c) != c).count() == 0 and got.filter(F.col(c).isNull()).count() == 0 for c in extra)
+        if name == "near_duplicates":
+            assert sorted(left, key=str) == sorted([(-1, None), (-2, ""), (-2, ""), (-4, text), (None, text), (None, None), *rows[8:]], key=str)
+        elif name == "secrets":
+            assert (-5, "w" * 300000 + " [SECRET]") in left and len(left) == len(rows)
+        else:
+            assert len(left) == len(rows)
+        assert name == "bpe" or got.columns == docs.columns
+        assert stage(spark, docs.limit(0), ROOT).count() == 0
