@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import SLICE_BYTES, Stretches, frugal, sliced, table
+from millrace.llm.common import SLICE_BYTES, Stretches, mapped, sliced, table
 
 #: Distinct words whose encodings a worker keeps at a time.
 KEPT_WORDS = 400_000
 #: Bytes of text whose words come under one index.
-INDEX_BYTES = 2 * SLICE_BYTES
+INDEX_BYTES = SLICE_BYTES
 #: Bytes of text whose characters are looked at together.
-SPLIT_BYTES = SLICE_BYTES // 4
+SPLIT_BYTES = SLICE_BYTES // 8
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The pieces of a text inside which merges happen.
@@ -367,7 +367,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", de
                     part = whole.slice(start, end - start)
                     yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f.name for f in added)])
 
-    return given.mapInArrow(frugal(run), schema)
+    return mapped(given, run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

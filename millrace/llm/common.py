@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds at a time.
 SLICE_BYTES = 8 << 20
+#: Bytes of an Arrow batch that goes to a Python worker, and the setting that bounds it.
+BATCH_BYTES, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Text bytes aimed at for one unit of shuffled work.
 UNIT_BYTES = 8 << 20
 #: Largest bytes that any operator here broadcasts; beyond it each has another way.
@@ -57,6 +59,23 @@ def frugal(run: Callable) -> Callable:
     return batches if inspect.isgeneratorfunction(run) else table if len(inspect.signature(run).parameters) == 1 else tables
 
 
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(frugal(run), schema)`` over batches of about ``BATCH_BYTES``.
+
+    Spark's own bound on a batch is in rows, and long texts make that many times larger in the
+    JVM and in the worker. The session's setting stays where it is set.
+    """
+    conf = df.sparkSession.conf
+    if not set_by_user(df.sparkSession, BATCH_CONF):
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(frugal(run), schema)
+
+
+def set_by_user(spark: SparkSession, name: str) -> bool:
+    given = spark.sparkContext.getConf().get(name, "") or spark.conf.getAll.get(name, "")
+    return given not in ("", str(BATCH_BYTES))
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 

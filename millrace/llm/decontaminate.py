@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import frugal, table
+from millrace.llm.common import mapped, table
 
 #: Characters of an item for each error that is allowed in it, and those under which it must stand as it is, as whole words.
 CHARS_PER_ERROR, WHOLE_CHARS = 16, 24
@@ -133,7 +133,7 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str
                     new = [[*o, *({"item_id": i, "distance": d} for i, d in f)] for o, f in zip(old, found, strict=True)]
                     yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, kind)], b.schema.names)
 
-        out = out.mapInArrow(frugal(run), T.StructType(schema.fields))
+        out = mapped(out, run, T.StructType(schema.fields))
     return out if blocks == 1 else out.withColumn(name, F.array_sort(name))
 
 

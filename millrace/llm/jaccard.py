@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Stretches, checkpointed, frugal, mixed, sliced, table, units
+from millrace.llm.common import Stretches, checkpointed, frugal, mapped, mixed, sliced, table, units
 from millrace.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -225,7 +225,7 @@ def _candidates(docs: DataFrame, n_units: int) -> DataFrame:
         gid = value[keep].astype(np.int64) * n_units + rows["unit"][0].as_py()
         return pa.table({"gid": pa.array(gid, pa.int64()), "id": pa.array(doc[keep], pa.int64())})
 
-    return docs.mapInArrow(frugal(send), "unit int, blob binary").groupBy("unit").applyInArrow(frugal(meet), "gid long, id long")
+    return mapped(docs, send, "unit int, blob binary").groupBy("unit").applyInArrow(frugal(meet), "gid long, id long")
 
 
 def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -263,7 +263,7 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 links += _star(whole.slice(low, high - low))
             yield _pairs([x for x, _ in links], [x for _, x in links])
 
-    return stars.select("hub", "part", "id", "text").mapInArrow(frugal(check), "a long, b long")
+    return mapped(stars.select("hub", "part", "id", "text"), check, "a long, b long")
 
 
 def _star(rows: pa.RecordBatch) -> list[tuple[int, int]]:
@@ -388,7 +388,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = docs.filter("id IS NOT NULL")
     columns = "id long, n long, one long, two long, sketch binary"
-    measured = checkpointed(known.mapInArrow(frugal(_measure), columns))
+    measured = checkpointed(mapped(known, _measure, columns))
     some = measured.filter("n > 0")
     # Equal sets: the smallest id stands for all.
     first = some.groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
@@ -399,7 +399,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = marks.groupBy("m", "x", "low", "high").agg(F.min("gid").alias("gid")).select("gid")
     sketch = some.select("id", "n", "sketch").join(reps.filter("id = rep").select("id"), "id").dropDuplicates(["id"])
     groups = checkpointed(groups.join(chosen, "gid").join(sketch, "id").select("gid", "id", "n", "sketch"))
-    to_hubs = groups.repartition("gid").sortWithinPartitions("gid", "id").mapInArrow(frugal(_to_hubs), "a long, b long, distance long")
+    to_hubs = mapped(groups.repartition("gid").sortWithinPartitions("gid", "id"), _to_hubs, "a long, b long, distance long")
     best = to_hubs.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
     copies = reps.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = checkpointed(_verify(known, best).union(copies))
@@ -408,7 +408,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = groups.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid")
     rest = placed.join(apart, "gid").select("gid", "id", "component", "n", "sketch").repartition("gid").sortWithinPartitions("gid", "id")
-    pairs = checkpointed(rest.mapInArrow(frugal(_across), "a long, b long, distance long").distinct())
+    pairs = checkpointed(mapped(rest, _across, "a long, b long, distance long").distinct())
     # One link joins two components: the nearest pairs of each two are verified first, then more, then all.
     for most in FIRST_PAIRS:
         ends = [parts.select(F.col("id").alias(c), F.col("component").alias(f"p{c}")) for c in ("a", "b")]
@@ -422,7 +422,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if most is not None:
             pairs = open_.filter(F.col("k") > most).select("a", "b", "distance")
     out = measured.select("id", F.col("n").alias("n_shingles")).join(parts, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    lost = docs.filter("id IS NULL").mapInArrow(frugal(_measure), columns)
+    lost = mapped(docs.filter("id IS NULL"), _measure, columns)
     return out.unionByName(lost.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Stretches, frugal, sliced, table
+from millrace.llm.common import Stretches, mapped, sliced, table
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
@@ -226,7 +226,7 @@ def scan(df: DataFrame, text_col: str = "text", templates: tuple[Template, ...]
                 part = whole.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], [*part.schema.names, *_FIELDS.fieldNames()])
 
-    return given.mapInArrow(frugal(run), schema)
+    return mapped(given, run, schema)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

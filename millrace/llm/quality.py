@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import frugal, sigmoid, table
+from millrace.llm.common import mapped, sigmoid, table
 from millrace.llm.labelled import SAMPLE_ROWS, held_out, sample
 
 THRESHOLD = 0.7
@@ -67,7 +67,7 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
                 rows = np.array([statistics(x) for x in pc.cast(b.column(at), pa.string()).to_pylist()]).reshape(-1, len(names))
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in rows.T)], [*b.schema.names, *names])
 
-    return given.mapInArrow(frugal(run), T.StructType([*given.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return mapped(given, run, T.StructType([*given.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 #: A comparison is (statistic, whether above, bound): above means > bound, else <= bound.

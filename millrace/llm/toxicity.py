@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import types as T
 
-from millrace.llm.common import frugal, sigmoid, table
+from millrace.llm.common import mapped, release, sigmoid, table
 from millrace.llm.labelled import SAMPLE_ROWS, held_out, sample
 
 BUCKET_BITS = 20
@@ -99,7 +99,7 @@ class _Block:
     def __init__(self, at: np.ndarray, n: np.ndarray, y: np.ndarray):
         self.n, self.y = n, y
         self.cost = np.where(y > 0, TOXIC_WEIGHT, 1.0) / max(1, len(n))
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at, kind="stable").astype(np.int32)
         self.found, self.heads = np.unique(at[order], return_index=True)
         self.at = np.empty(len(at), np.int32)
         self.at[order] = np.repeat(np.arange(len(self.found), dtype=np.int32), np.diff(np.append(self.heads, len(at))))
@@ -126,7 +126,7 @@ def _blocks(at: np.ndarray, n: np.ndarray, y: np.ndarray, rng: np.random.Generat
     for rows in np.array_split(rng.permutation(len(n)), max(min(16, len(n)), len(n) // BLOCK_ROWS)):
         own = n[rows]
         entries = np.repeat(starts[rows] - np.cumsum(own) + own, own) + np.arange(own.sum())
-        out.append(_Block(at[entries], own, y[rows]))
+        out.append(_Block(at[entries].astype(np.int32), own, y[rows]))
     return out
 
 
@@ -167,6 +167,7 @@ def fit(kept: np.ndarray, at: np.ndarray, n: np.ndarray, y: np.ndarray, rate: fl
         if epoch == WEIGHT_EPOCHS:
             whole = _Block(at, n, y)
             v = _leading(whole, (y - sigmoid(bias + whole.sums(w))) * whole.cost, rng)
+            del whole
             v = _shrunk(v * 0.2 / np.abs(v).max(1, keepdims=True).clip(1e-12), 0.05)
             g[:], gb = 1e-6, 1e-6
         if epoch >= WEIGHT_EPOCHS:
@@ -209,19 +210,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(buckets(x, memo)) for x in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["doc_id", "b", "y"])
 
-    got = sample(docs, labels, label, parts, left, rows).mapInArrow(frugal(hashed), "doc_id long, b array<int>, y double").toArrow().sort_by("doc_id")
+    got = mapped(sample(docs, labels, label, parts, left, rows), hashed, "doc_id long, b array<int>, y double").toArrow().sort_by("doc_id")
     y, n = got["y"].to_numpy(), pc.list_value_length(got["b"]).to_numpy().astype(np.int64)
     flat = pc.list_flatten(got["b"]).to_numpy()
+    del got
     count = np.bincount(flat, minlength=1 << BUCKET_BITS)
     kept = np.flatnonzero(count)
     place = np.zeros(len(count), np.int32)
     place[kept] = np.arange(len(kept))
     flat, count = place[flat], count[kept]
+    del place
     pace = np.zeros(len(kept))
     if len(y) and y.min() < y.max():
         mean, hits = y.mean(), np.bincount(flat, weights=np.repeat(y, n), minlength=len(kept))
         pace = np.minimum(1, np.abs(hits - count * mean) / np.sqrt(count * mean * (1 - mean) + 1) / FULL_GAIN) ** SLOWNESS
-    return fit(kept, flat, n, y, pace=pace)
+    machine = fit(kept, flat, n, y, pace=pace)
+    del flat
+    release()
+    return machine
 
 
 def score(df: DataFrame, machine: Machine, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -248,7 +254,7 @@ def score(df: DataFrame, machine: Machine, text_col: str = "text", name: str = "
                     rows.append(np.sort(found[found >= 0]))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(rows), pa.float64())], [*b.schema.names, name])
 
-    return given.mapInArrow(frugal(run), T.StructType([*given.schema.fields, T.StructField(name, T.DoubleType())]))
+    return mapped(given, run, T.StructType([*given.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
