@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.offsets import global_index, running_offsets
+from millrace.operators.offsets import global_index, running_offsets, slots_of
+from millrace.shared import checkpointed
 
 
 @dataclass(frozen=True)
@@ -33,13 +34,20 @@ def range_join(frames: DataFrame, episodes: DataFrame, keys: Sequence[str], inde
 
     Ranges of one key do not overlap: instead of joining all ranges of a key with all its
     frames, each frame takes the last range that begins at or before it, by a window over
-    the union of both, and is left out where that range has ended.
+    the union of both, and is left out where that range has ended. Both sides are dealt to slots by
+    approximate quantiles of the index, and a slot begins with the last range of the key's slots
+    before, so that a key with very many frames goes to several tasks.
     """
     e = episodes.select(*keys, F.col(low).alias("__at"), F.lit(0).alias("__k"), F.struct(F.col(high).alias("high"), *carry).alias("__e"))
     f = frames.select(*keys, F.col(index).alias("__at"), F.lit(1).alias("__k"), F.struct("*").alias("__f"))
-    w = Window.partitionBy(*keys).orderBy("__at", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(f, allowMissingColumns=True).withColumn("__e", F.last("__e", ignorenulls=True).over(w))
-    found = both.filter((F.col("__k") == 1) & (F.col("__at") < F.col("__e.high")))
+    both = e.unionByName(f, allowMissingColumns=True).withColumn("__key", F.struct(*keys))
+    both = both.withColumn("__slot", slots_of(e.select("__at").union(f.select("__at")), "__at", int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    lasts = both.groupBy("__key", "__slot").agg(F.max_by("__e", F.when(F.col("__k") == 0, F.col("__at"))).alias("__last"))
+    before = Window.partitionBy("__key").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)  # one row a slot
+    base = lasts.select("__key", "__slot", F.last("__last", ignorenulls=True).over(before).alias("__base"))
+    w = Window.partitionBy("__key", "__slot").orderBy("__at", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__e", F.last("__e", ignorenulls=True).over(w)).filter("__k = 1").join(base, ["__key", "__slot"])
+    found = seen.withColumn("__e", F.coalesce("__e", "__base")).filter(F.col("__at") < F.col("__e.high"))
     kept = [F.col(f"__f.`{c}`").alias(c) for c in frames.columns if c not in carry]
     return found.select(*kept, *(F.col(f"__e.`{c.strip('`')}`").alias(c.strip("`")) for c in carry))
 
@@ -238,11 +246,12 @@ def episode_tables(df: DataFrame) -> Tables:
     if "episode_index" in df.columns:
         keyed = renumber_duplicates(df.withColumn("__seq", F.col("episode_index")), "episode_index", "__seq").drop("__seq")
     else:
-        keyed = global_index(df.withColumn("__seq", F.monotonically_increasing_id()), "__seq", "episode_index").drop("__seq")
+        keyed = global_index(checkpointed(df.withColumn("__seq", F.monotonically_increasing_id())), "__seq", "episode_index").drop("__seq")
     keyed = keyed.withColumn("length", F.size("frames").cast("bigint"))
     placed = running_offsets(keyed, [], "episode_index", "length", "dataset_from_index").withColumn("dataset_to_index", F.col("dataset_from_index") + F.col("length"))
     texts = placed.select("episode_index", F.posexplode(F.col("tasks")).alias("__p", "task")).groupBy("task").agg(F.min(F.struct("episode_index", "__p")).alias("__o"))
-    tasks = texts.select("task", (F.row_number().over(Window.orderBy("__o")) - 1).cast("bigint").alias("task_index"))  # one row a distinct text
+    numbered = texts.withColumn("__at", F.col("__o.episode_index") * (1 << 20) + F.col("__o.__p"))
+    tasks = global_index(numbered, "__at", "task_index").select("task", "task_index")
     frames = explode_frames(placed.select("episode_index", "dataset_from_index", "frames", F.get("tasks", F.lit(0)).alias("__task")))
     frames = frames.withColumn("index", F.col("dataset_from_index") + F.col("frame_index")).drop("dataset_from_index", "task_index")
     frames = frames.join(tasks, frames["__task"] == tasks["task"], "left").drop("__task", "task")

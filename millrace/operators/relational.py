@@ -19,6 +19,30 @@ def group_combine(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> D
     return df.groupBy(*keys).agg(*(c.alias(n) for n, c in aggregates.items()))
 
 
+def cube(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Groups of all subsets of the keys; a key that a row sums over is null."""
+    return df.cube(*keys).agg(*(c.alias(n) for n, c in aggregates.items()))
+
+
+def rollup(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Groups of the keys, then of all but the last, up to the whole table."""
+    return df.rollup(*keys).agg(*(c.alias(n) for n, c in aggregates.items()))
+
+
+def distinct(df: DataFrame) -> DataFrame:
+    return df.distinct()
+
+
+def intersect(left: DataFrame, right: DataFrame, every: bool = False) -> DataFrame:
+    """Rows of both sides, nulls alike; with ``every`` as often as the side that has fewer."""
+    return left.intersectAll(right) if every else left.intersect(right)
+
+
+def except_(left: DataFrame, right: DataFrame, every: bool = False) -> DataFrame:
+    """Rows of the left side that the right has not; with ``every`` one of them for each that it has."""
+    return left.exceptAll(right) if every else left.subtract(right)
+
+
 def global_sort(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.orderBy(*order)
 

@@ -89,3 +89,42 @@ def ranges(df: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame
 
 def dataset_totals(episodes: DataFrame, frames: str = "length") -> DataFrame:
     return episodes.agg(F.count("*").alias("total_episodes"), F.coalesce(F.sum(frames), F.lit(0)).cast("bigint").alias("total_frames"))
+
+
+#: Names of the statistics that are written with episodes.
+KEPT = ("min", "max", "mean", "std", "count", *(f"q{round(q * 100):02d}" for q in QUANTILES))
+
+
+def episode_stats(frames: DataFrame, key: str) -> DataFrame | None:
+    """(key, feature, dim, ``KEPT``) of the numeric columns of all episodes; None without such columns."""
+    out = None
+    for name in stat_columns(frames.schema):
+        held = frames.select(key, F.col(f"`{name}`").alias("__v"))
+        one = feature_stats(held, [key], "__v").join(feature_quantiles(held, [key], "__v"), [key, "dim"]).withColumn("feature", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def with_stats(episodes: DataFrame, parts: DataFrame | None, key: str) -> DataFrame:
+    """Episodes with an array column ``stats/<feature>/<statistic>`` for each, by element."""
+    if parts is None:
+        return episodes
+    out = episodes
+    names = [r["feature"] for r in parts.select("feature").distinct().orderBy("feature").collect()]  # bounded: columns
+    for name in names:
+        rows = parts.filter(F.col("feature") == name).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", *KEPT))).alias("__s"))
+        values = [F.col(f"__s.{k}").alias(f"stats/{name}/{k}") for k in KEPT]
+        out = out.join(rows.select(key, *values), key, "left")
+    return out
+
+
+def described(parts: DataFrame | None) -> dict[str, dict[str, list]]:
+    """Statistics of the whole dataset, pooled from those of its episodes: lists by element for each feature."""
+    if parts is None:
+        return {}
+    rows = merge_stats(parts, ["feature", "dim"], [k for k in KEPT if k.startswith("q")]).orderBy("feature", "dim").collect()  # bounded: elements of features
+    out: dict[str, dict[str, list]] = {}
+    for r in rows:
+        for k in KEPT:
+            out.setdefault(r["feature"], {}).setdefault(k, []).append(r[k])
+    return out

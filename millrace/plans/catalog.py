@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import uuid
+import struct
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,8 @@ from millrace.functions import coalesce, col, if_else, lit
 from millrace.operators import align, episodes, media, offsets, relational, stats
 from millrace.plans.dataset import Dataset
 from millrace.plans.row import Row
-from millrace.sources import filter_html, read_csv, read_files, read_jsonl, read_parquet, task
+from millrace.shared import scratch
+from millrace.sources import filter_html, from_items, mcap, read_blob, read_commoncrawl, read_commoncrawl_from_index, read_csv, read_files, read_json, read_jsonl, read_lerobot, read_mcap, read_parquet, read_tfrecords, read_videos, read_zarr, task
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,12 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> Dataset:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet", file_path_column=None)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder where all executors can write: under the checkpoint folder, else the warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 # --- README shape -------------------------------------------------------------------------
 
 
@@ -494,8 +489,261 @@ def union_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.value_counts(relational.union(a, table(spark, sf_dir, "orders").df.select(F.lit("orders").alias("source"))), "source")
 
 
-def plan_of(dataset: Dataset) -> Iterator[dict]:
-    yield from json.loads(dataset.plan())
+# --- set operations and groupings ---------------------------------------------------------
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.intersect(table(spark, sf_dir, "customer").df.select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").df.select("s_nationkey"))
+
+
+@query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
+def set_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.except_(table(spark, sf_dir, "orders").df.select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").df.select("c_custkey"), every=True)
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def set_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.distinct(table(spark, sf_dir, "lineitem").df.select("l_returnflag", "l_linestatus"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_quantity) AS most FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def group_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.cube(table(spark, sf_dir, "lineitem").df, ["l_returnflag", "l_linestatus"], n=F.count("*"), most=F.max("l_quantity"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def group_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.rollup(table(spark, sf_dir, "lineitem").df, ["l_returnflag", "l_linestatus"], n=F.count("*"))
+
+
+# --- more sources and sinks ---------------------------------------------------------------
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def json_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file with an array of objects, and one with lines."""
+    out = scratch(spark)
+    n = table(spark, sf_dir, "nation").df.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))))
+    n.coalesce(1).write.text(f"{out}/array")
+    r = table(spark, sf_dir, "region").df.select(F.to_json(F.struct(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"))))
+    r.coalesce(1).write.text(f"{out}/lines")
+    return read_json(spark, [f"{out}/array/*.txt", f"{out}/lines/*.txt"], file_path_column=None).select("n_nationkey", "n_name").df
+
+
+@query("SELECT 1::BIGINT AS a, 'x' AS b UNION ALL SELECT 2, NULL")
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_items(spark, [{"a": 1, "b": "x"}, {"a": 2, "b": None}]).df.select("a", "b")
+
+
+@query("SELECT 'orders.parquet' AS name, count(*) AS n FROM orders")
+def file_path_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_parquet(spark, f"{sf_dir}/orders.parquet", columns=["o_orderkey"])
+    return d.df.groupBy(F.regexp_extract("file_path", r"([^/]+\.parquet)", 1).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT (o_orderkey % 3)::BIGINT AS k, count(*) AS n FROM orders GROUP BY ALL")
+def directory_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of other suffixes in a directory are passed over."""
+    out = scratch(spark)
+    o = table(spark, sf_dir, "orders").df
+    o.select((F.col("o_orderkey") % 3).alias("k")).write.parquet(out)
+    o.select(F.lit("not parquet")).write.mode("append").text(out)
+    return read_parquet(spark, out, file_path_column=None).df.groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name || '.mp4' AS video FROM nation")
+def video_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.sinks import _put
+
+    out = scratch(spark)
+    rows = table(spark, sf_dir, "nation").df.select("n_nationkey", "n_name").collect()  # a fixture of 25 files
+    _put(out, {f"{r['n_nationkey']}-{r['n_name']}.mp4": b"\0" for r in rows})
+    name = F.element_at(F.split("video_path", "/"), -1)
+    v = read_videos(spark, f"{out}/*.mp4").df.select(F.url_decode(name).alias("f"))
+    return v.select(F.split("f", "-", 2)[0].cast("bigint").alias("n_nationkey"), F.split("f", "-", 2)[1].alias("video"))
+
+
+@query("SELECT n_nationkey, n_name, NULL::VARCHAR AS gone FROM nation")
+def blob_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files bundled into blobs, references read back; files that are not there become null."""
+    from millrace.sinks import BlobAssets, _put
+
+    out = scratch(spark)
+    n = table(spark, sf_dir, "nation").df.select("n_nationkey", "n_name")
+    _put(f"{out}/in", {f"{r['n_nationkey']}.txt": r["n_name"].encode() for r in n.collect()})  # a fixture of 25 files
+    d = Dataset(n.select("n_nationkey", F.concat(F.lit(f"{out}/in/"), F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("f"), F.lit(f"{out}/none").alias("gone")))
+    d.write_parquet(f"{out}/out", assets=BlobAssets(("f", "gone"), missing_policy="set_null")).launch_local("assets")
+    back = read_parquet(spark, f"{out}/out", file_path_column=None)
+    return back.map(lambda r: {"n_name": read_blob(r["f"]).decode()}, dtypes={"n_name": "string"}).df.select("n_nationkey", "n_name", F.col("gone").cast("string").alias("gone"))
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Pages as web archives, a file a partition, and an index of their records."""
+    import pyarrow as pa
+
+    out = scratch(spark)
+
+    def write(batches):
+        import uuid
+
+        from millrace.sinks import _put
+
+        for b in batches:
+            parts, rows, at, name = [], [], 0, f"{uuid.uuid4().hex}.warc"
+            for r in b.to_pylist():
+                body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + (r["html"] or "").encode()
+                head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {r['url']}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+                parts.append(head + body + b"\r\n\r\n")
+                rows.append((r["page_id"], r["url"], name, at, len(parts[-1])))
+                at += len(parts[-1])
+            _put(out, {name: b"".join(parts)})
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["page_id", "url", "warc_filename", "warc_record_offset", "warc_record_length"])
+
+    pages = table(spark, sf_dir, "pages").df.select("page_id", "url", "html")
+    index = pages.mapInArrow(write, "page_id long, url string, warc_filename string, warc_record_offset long, warc_record_length long")
+    index.write.parquet(f"{out}/index")
+    return out, spark.read.parquet(f"{out}/index")
+
+
+@query("SELECT url, 200 AS http_status, strlen(html)::BIGINT AS n FROM pages")
+def crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _archives(spark, sf_dir)
+    return read_commoncrawl(spark, f"{out}/*.warc").df.select("url", "http_status", F.octet_length("content").cast("bigint").alias("n"))
+
+
+@query("SELECT url, md5(html) AS h FROM pages WHERE page_id % 4 = 1")
+def crawl_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _archives(spark, sf_dir)
+    d = read_commoncrawl_from_index(spark, f"{out}/index", out, col("page_id") % 4 == 1)
+    return d.df.select("url", F.md5("content").alias("h"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS row_index, len(embedding)::INTEGER AS dims, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def array_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark)
+    e = table(spark, sf_dir, "embeddings").df.select("vec_id", F.array(F.col("embedding").cast("array<double>")).alias("x"))
+    Dataset(e).write_zarr(out, {"data/x": "x"}, order="vec_id").launch_local("zarr")
+    z = read_zarr(spark, out, {"x": "data/x"}, row_ends="meta/episode_ends").df
+    return z.select("row_index", F.size(F.get("x", F.lit(0))).alias("dims"), F.round(F.get(F.get("x", F.lit(0)), F.lit(0)), 6).alias("first"))
+
+
+@query("SELECT n_nationkey, n_name, [n_nationkey / 2.0, 1.5]::FLOAT[] AS v FROM nation")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serialised examples of a fixture of 25 rows, read by the declared features."""
+    from millrace.sinks import _put
+
+    def part(number: int, body: bytes) -> bytes:
+        return bytes([number << 3 | 2, len(body)]) + body
+
+    def feature(name: str, kind: int, body: bytes) -> bytes:
+        return part(1, part(1, name.encode()) + part(2, part(kind, body)))
+
+    out, data = scratch(spark), b""
+    for r in table(spark, sf_dir, "nation").df.collect():
+        x = part(1, feature("n_nationkey", 3, part(1, bytes([r["n_nationkey"]]))) + feature("n_name", 1, part(1, r["n_name"].encode())) + feature("v", 2, part(1, struct.pack("<2f", r["n_nationkey"] / 2, 1.5))))
+        data += struct.pack("<Q", len(x)) + bytes(4) + x + bytes(4)
+    _put(out, {"a.tfrecord": data})
+    return read_tfrecords(spark, f"{out}/a.tfrecord", {"n_nationkey": "int64", "n_name": "string", "v": "array<float>"}).df
+
+
+def _log(spark: SparkSession, sf_dir: str) -> str:
+    """A robot log of suppliers: their balance at whole seconds, their nation half a second later at every other one."""
+    from millrace.sinks import _put
+
+    def record(code: int, body: bytes) -> bytes:
+        return bytes([code]) + struct.pack("<Q", len(body)) + body
+
+    def text(s: str) -> bytes:
+        return struct.pack("<I", len(s)) + s.encode()
+
+    topics, out = ["/balance", "/nation"], [mcap.MAGIC]
+    out += [record(mcap.CHANNEL, struct.pack("<HH", i, 0) + text(t) + text("json") + struct.pack("<I", 0)) for i, t in enumerate(topics)]
+    rows = table(spark, sf_dir, "supplier").df.orderBy("s_suppkey").limit(100).collect()  # the fixture's size
+    for k, r in enumerate(rows):
+        for i, (at, value, there) in enumerate(((r["s_suppkey"], r["s_acctbal"], True), (r["s_suppkey"] + 0.4, r["s_nationkey"], r["s_suppkey"] % 2 == 0))):
+            if there:
+                out.append(record(mcap.MESSAGE, struct.pack("<HIQQ", i, k, int(at * 1e9), int(at * 1e9)) + json.dumps({"v": value}).encode()))
+    folder = scratch(spark)
+    _put(folder, {"a.mcap": b"".join([*out, mcap.MAGIC])})
+    return f"{folder}/a.mcap"
+
+
+_LOG_FIELDS = {"balance": ("/balance.v", "double"), "nation": ("/nation.v", "bigint")}
+_LOG_ROWS = "s AS (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 100)"
+
+
+@query(f"WITH {_LOG_ROWS} SELECT s_suppkey::DOUBLE AS at, s_acctbal AS balance, NULL::BIGINT AS nation FROM s UNION ALL SELECT s_suppkey + 0.4::DOUBLE, NULL, s_nationkey FROM s WHERE s_suppkey % 2 = 0")
+def log_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_mcap(spark, _log(spark, sf_dir), _LOG_FIELDS).df
+    return d.select(F.round(F.col("ts") / 1e9, 3).alias("at"), "balance", "nation")
+
+
+@query(f"""WITH {_LOG_ROWS} SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::BIGINT AS frame_index, s_acctbal AS balance,
+CASE WHEN s_suppkey % 2 = 1 THEN lag(s_nationkey) OVER (ORDER BY s_suppkey) ELSE lag(s_nationkey, 2) OVER (ORDER BY s_suppkey) END::BIGINT AS nation FROM s""")
+def log_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_mcap(spark, _log(spark, sf_dir), _LOG_FIELDS, "balance", "hold").df
+    return d.select("frame_index", "balance", "nation")
+
+
+_EPISODES = "e AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS frame_index, value, dense_rank() OVER (ORDER BY user_id) - 1 AS episode_index FROM events)"
+
+
+def _episode_set(spark: SparkSession, sf_dir: str):
+    out = scratch(spark)
+    f = _frames(spark, sf_dir).select("user_id", "frame_index", F.array("value").alias("action"))
+    users = f.select("user_id").distinct().withColumn("tasks", F.array(F.concat(F.lit("task "), (F.col("user_id") % 3).cast("string"))))
+    nested = episodes.nest_frames(users, f, ["user_id"]).withColumn("frames", F.transform("frames", lambda x: F.struct(x["action"].alias("action"))))
+    Dataset(offsets.global_index(nested, "user_id", "episode_index")).write_episodes(out, fps=10.0).launch_local("episodes")
+    return read_lerobot(spark, out)
+
+
+@query(f"WITH {_EPISODES} SELECT episode_index::BIGINT AS episode_index, frame_index, (row_number() OVER (ORDER BY user_id, frame_index) - 1)::BIGINT AS index, value FROM e")
+def episodes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _episode_set(spark, sf_dir)
+    return d.frames.select("episode_index", "frame_index", "index", F.get("action", F.lit(0)).alias("value"))
+
+
+@query(f"WITH {_EPISODES} SELECT episode_index::BIGINT AS episode_index, count(*) AS length, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean FROM e GROUP BY ALL")
+def episodes_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics as they are written beside each episode."""
+    e = _episode_set(spark, sf_dir).episodes
+    of = lambda k: F.get(f"stats/action/{k}", F.lit(0))
+    return e.select("episode_index", "length", of("min").alias("low"), of("max").alias("high"), F.round(of("mean"), 4).alias("mean"))
+
+
+@query(f"SELECT user_id, frame_index FROM ({_FRAMES}) WHERE user_id % 2 = 1")
+def delete_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir).select("user_id", "frame_index")
+    users = f.select("user_id").distinct()
+    return episodes.delete_episodes(users, f, users.filter("user_id % 2 = 0"), ["user_id"]).frames
+
+
+@query("SELECT count(*) AS total_episodes, sum(o_orderkey % 5)::BIGINT AS total_frames FROM orders")
+def dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.dataset_totals(table(spark, sf_dir, "orders").df.select((F.col("o_orderkey") % 5).alias("length")))
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY o_custkey")
+def key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ranges(table(spark, sf_dir, "orders").df, ["o_custkey"], "o_orderkey", "o_orderkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 1 THEN 30.0 WHEN abs(p_size / 3.0 - round(p_size / 3.0)) < 1e-6 THEN round(p_size / 3.0) ELSE p_size / 3.0 END::DOUBLE AS fps FROM part")
+def snapped_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").df.select("p_partkey", align.snap_fps(F.when(F.col("p_size") != 1, F.col("p_size") / 3)).alias("fps"))
+
+
+@query("SELECT event_id, w.user_id FROM events e JOIN (SELECT user_id, min(ts) AS a FROM events GROUP BY user_id) w ON e.user_id = w.user_id AND ts >= a AND ts < a + INTERVAL 1 DAY")
+def window_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").df.select("event_id", "user_id", "ts")
+    w = e.groupBy("user_id").agg(F.min("ts").alias("low")).withColumn("high", F.col("low") + F.expr("INTERVAL 1 DAY"))
+    return align.windows_of(e, ["user_id"], "ts", w, "low", "high").select("event_id", "user_id")
+
+
+@query("SELECT s_suppkey, s_nationkey + 1 AS next FROM supplier")
+def with_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").with_column("next", col("s_nationkey") + 1).select("s_suppkey", "next").df
 
 
 __all__ = ["QUERIES", "SQL", "lit"]

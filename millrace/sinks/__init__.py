@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.types import apply_dtypes
+from millrace.shared import checkpointed
 from millrace.sinks.assets import BlobAssets, FileAssets, write_assets
 
 __all__ = ["BlobAssets", "EpisodeSink", "FileAssets", "JsonlSink", "LanceSink", "NullSink", "ParquetSink", "ZarrSink", "write_assets"]
@@ -134,7 +135,7 @@ class ZarrSink:
             raise ValueError("no arrays")
         columns = dict(self.arrays)
         some = next(iter(columns.values()))
-        keyed = df.withColumn("__order", F.col(self.order) if self.order else F.monotonically_increasing_id())
+        keyed = df.withColumn("__order", F.col(self.order)) if self.order else checkpointed(df.withColumn("__order", F.monotonically_increasing_id()))
         sized = keyed.select("__order", *columns.values(), F.size(some).cast("bigint").alias("__n"), *(F.size(c).alias(f"__n_{i}") for i, c in enumerate(columns.values())))
         odd = sized.filter(" OR ".join(f"__n_{i} <> __n" for i in range(len(columns)))).limit(1).count()
         if odd:
@@ -173,7 +174,7 @@ class ZarrSink:
 
 @dataclass(frozen=True)
 class EpisodeSink:
-    """Episode tables: frames, episodes with statistics, tasks and the dataset's description.
+    """Episode tables: frames, episodes with statistics, tasks, and the dataset's description and statistics.
 
     ``df`` has a row an episode with ``frames``, an array of structs, and ``tasks``, an array of
     texts. Episode ids are made unique, frames get global indices from running sums, and
@@ -186,11 +187,16 @@ class EpisodeSink:
     frames_per_file: int = 1_000_000
 
     def write(self, df: DataFrame) -> dict:
-        from millrace.operators import episodes as ops
+        from millrace.operators import episodes as ops, stats
 
         if not math.isfinite(self.fps) or self.fps <= 0:
             raise ValueError("fps is a positive number")
-        tables = ops.episode_tables(df)
+        tables = ops.episode_tables(checkpointed(df))
+        frames = checkpointed(tables.frames)
+        tables = ops.Tables(tables.episodes, frames, tables.tasks)
+        parts = stats.episode_stats(frames, "episode_index")
+        whole = stats.described(parts)
+        tables = ops.Tables(checkpointed(stats.with_stats(tables.episodes, parts, "episode_index")), frames, tables.tasks)
         for name, t in (("data/chunk-000", tables.frames.sortWithinPartitions("index")), ("meta/episodes", tables.episodes)):
             t.write.mode("overwrite").option("maxRecordsPerFile", self.frames_per_file).parquet(f"{self.output}/{name}")
         tables.tasks.coalesce(1).write.mode("overwrite").parquet(f"{self.output}/meta/tasks.parquet")
@@ -198,5 +204,5 @@ class EpisodeSink:
         n_tasks = tables.tasks.count()
         fps = round(self.fps) if abs(self.fps - round(self.fps)) < 1e-6 else self.fps
         info = {"fps": fps, "robot_type": self.robot_type, "total_episodes": total["episodes"], "total_frames": total["frames"] or 0, "total_tasks": n_tasks, "splits": {"train": f"0:{total['episodes']}"}, "features": ops.feature_map(tables.frames.schema)}
-        _put(self.output, {"meta/info.json": json.dumps(info, indent=2).encode()})
+        _put(self.output, {"meta/info.json": json.dumps(info, indent=2).encode(), "meta/stats.json": json.dumps(whole, indent=2).encode()})
         return {"rows": total["episodes"], "output": self.output}

@@ -108,7 +108,7 @@ def read_commoncrawl(spark: SparkSession, inputs: str | Sequence[str], output_fi
         for b in batches:
             for data in b.column(0):
                 raw = pa.BufferReader(data.as_buffer())
-                f = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data.as_py()[:2] == b"\x1f\x8b" else raw
+                f = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else io.BufferedReader(raw)
                 held: list[dict] = []
                 for r in records(f):
                     held.append(_row(r))

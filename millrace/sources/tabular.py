@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.expr import RESERVED, Expr, lower
-from millrace.functions.types import apply_dtypes, asset, schema_with_dtypes
+from millrace.functions.types import apply_dtypes, asset
 from millrace.plans.dataset import Dataset
+from millrace.shared import scratch
 
 Inputs = str | Sequence[str]
 
@@ -39,6 +40,8 @@ def _load(spark: SparkSession, fmt: str, inputs: Inputs, suffixes: Sequence[str]
         if suffixes and _is_dir(spark, path):
             reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(f"*{s}" for s in suffixes) + "}" if len(suffixes) > 1 else f"*{suffixes[0]}")
         found.append((reader.schema(schema) if schema is not None else reader).load(path))
+    if len(found) > 1 and fmt != "binaryFile":  # a union hides where its rows come from
+        found = [df.select("*", "_metadata") for df in found]
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
@@ -56,6 +59,7 @@ def _finish(df: DataFrame, name: str, file_path_column: str | None, dtypes: Mapp
         new.append((F.col("_metadata.row_index") if indexed else F.lit(None).cast("bigint")).alias(RESERVED[1]))
     if new:
         df = df.select("*", *new)
+    df = df.drop("_metadata") if "_metadata" in df.columns else df
     return Dataset(apply_dtypes(df, dtypes, strict=False), ((name, None),))
 
 
@@ -92,12 +96,28 @@ def read_jsonl(spark: SparkSession, inputs: Inputs, file_path_column: str | None
     return _finish(df, "read_jsonl", file_path_column, dtypes, identity)
 
 
-def read_json(spark: SparkSession, inputs: Inputs, lines: bool = False, file_path_column: str | None = "file_path", dtypes: Mapping[str, Any] | None = None) -> Dataset:
-    """A file is one object, an array of objects, or lines of objects with ``lines``."""
+def read_json(spark: SparkSession, inputs: Inputs, lines: bool = False, file_path_column: str | None = "file_path", dtypes: Mapping[str, Any] | None = None, schema: T.StructType | None = None) -> Dataset:
+    """Each file is one object, an array of objects, or lines of objects; with ``lines`` all are lines.
+
+    A file that is none of them is an error. Without a schema the objects are written to the
+    shared folder first, so that Spark's reader finds their types over all files.
+    """
     if lines:
-        return read_jsonl(spark, inputs, file_path_column, dtypes)
-    df = _load(spark, "json", inputs, (".json", ".json.gz"), mode="FAILFAST", multiLine=True)
-    return _finish(df, "read_json", file_path_column, dtypes, False)
+        return read_jsonl(spark, inputs, file_path_column, dtypes, schema)
+    files = _load(spark, "text", inputs, (".json", ".json.gz", ".jsonl", ".ndjson"), wholetext=True).select(F.col("_metadata.file_path").alias("__path"), F.trim("value").alias("__text"))
+    whole = F.col("__text")
+    rows = F.filter(F.split(whole, "\n"), lambda x: F.trim(x) != "")
+    is_object = lambda x: F.coalesce(F.ltrim(F.get_json_object(x, "$")).startswith("{"), F.lit(False))
+    found = F.when(whole.startswith("["), F.from_json(whole, "array<string>")).when(is_object(F.get(rows, F.lit(0))), rows).when(is_object(whole), F.array(whole))
+    wrong = F.raise_error(F.concat(F.lit("no JSON object, array or lines in "), F.col("__path"))).cast("array<string>")
+    objects = files.filter(whole != "").select("__path", F.explode(F.coalesce(found, wrong)).alias("__text"))
+    objects = objects.withColumn("__text", F.when(is_object(F.col("__text")), F.col("__text")).otherwise(F.raise_error(F.concat(F.lit("a row is no object in "), F.col("__path"))).cast("string")))
+    if schema is None:
+        held = scratch(spark)
+        objects.select(F.translate("__text", "\r\n", "  ").alias("value")).write.text(held)
+        schema = spark.read.json(held).schema
+    df = objects.select("__path", F.from_json("__text", schema, {"mode": "FAILFAST"}).alias("__row")).select("__row.*", *([F.col("__path").alias(file_path_column)] if file_path_column and file_path_column not in schema.names else []))
+    return Dataset(apply_dtypes(df, dtypes, strict=False), (("read_json", None),))
 
 
 def read_files(spark: SparkSession, inputs: Inputs, content_column: str | None = None, size_column: str | None = "size", path_column: str = "file_path", decode_fn: Callable[[bytes], Any] | None = None, dtypes: Mapping[str, Any] | None = None) -> Dataset:
@@ -119,7 +139,3 @@ def read_videos(spark: SparkSession, inputs: Inputs, column: str = "video_path")
     """Paths of videos, in a column that is marked as one of videos."""
     df = read_files(spark, inputs, size_column=None, path_column=column).df
     return Dataset(df.select(F.col(column).alias(column, metadata=asset("video").metadata)), (("read_videos", None),))
-
-
-def with_schema(df: DataFrame, dtypes: Mapping[str, Any]) -> T.StructType:
-    return schema_with_dtypes(df.schema, dtypes)

@@ -171,3 +171,30 @@ def test_relational(spark):
     assert sorted((r["k"], r["v"]) for r in relational.dedup(df, ["k"], ["o"]).collect()) == [(0, "a"), (1, "b")]
     assert relational.salted_join(df, df.select("k").distinct(), ["k"], 3).count() == 3
     assert relational.top_k(df, ["k"], [F.desc("o")], 1).count() == 2
+
+
+def test_running_sums_and_ranges_inside_a_hot_key(spark):
+    from millrace.operators import episodes, offsets
+
+    rows = [("hot" if i % 10 else None, i, i % 7 or None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, i long, n long")
+    got = {r["i"]: r["low"] for r in offsets.running_offsets(df, ["k"], "i", "n", "low", slots=16).collect()}
+    sums, wanted = {}, {}
+    for k, i, n in rows:
+        wanted[i] = sums.get(k, 0)
+        sums[k] = wanted[i] + (n or 0)
+    assert got == wanted
+    frames = spark.createDataFrame([(f, i) for f in (0, 1) for i in range(900)], "file int, idx long")
+    ranges = spark.createDataFrame([(0, 0, 700, 1), (0, 700, 710, 2), (1, 30, 31, 3), (1, 31, 899, 4)], "file int, low long, high long, e int")
+    found = episodes.range_join(frames, ranges, ["file"], "idx", "low", "high", ["e"]).groupBy("file", "e").count().collect()
+    assert {(r["file"], r["e"]): r["count"] for r in found} == {(0, 1): 700, (0, 2): 10, (1, 3): 1, (1, 4): 868}
+
+
+def test_set_operations(spark):
+    from millrace.operators import relational
+
+    a, b = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int"), spark.createDataFrame([(1,), (None,), (3,)], "x int")
+    show = lambda df: sorted((r["x"] for r in df.collect()), key=str)
+    assert show(relational.intersect(a, b)) == [1, None] and show(relational.except_(a, b)) == [2]
+    assert show(relational.except_(a, b, every=True)) == [1, 2] and show(relational.distinct(a)) == [1, 2, None]
+    assert relational.rollup(a, ["x"], n=F.count("*")).count() == 4

@@ -29,6 +29,12 @@ def test_json_kinds(spark, tmp_path):
     assert [r["a"] for r in S.read_json(spark, str(tmp_path / "one.json"))] == [1]
     assert sorted(r["a"] for r in S.read_json(spark, str(tmp_path / "many.json"))) == [2, 3]
     assert sorted(r["a"] for r in S.read_jsonl(spark, str(tmp_path / "lines.jsonl"))) == [4, 5]
+    every = S.read_json(spark, [str(tmp_path / n) for n in ("one.json", "many.json", "lines.jsonl")]).materialize()
+    assert sorted((r["a"], r["file_path"].rpartition("/")[2]) for r in every) == [(1, "one.json"), (2, "many.json"), (3, "many.json"), (4, "lines.jsonl"), (5, "lines.jsonl")]
+    for i, wrong in enumerate(("7", '["x"]', "{no")):
+        (tmp_path / f"bad{i}.json").write_text(wrong)
+        with pytest.raises(Exception, match="bad"):
+            S.read_json(spark, str(tmp_path / f"bad{i}.json")).materialize()
 
 
 def test_directory_suffixes_and_files(spark, tmp_path):
@@ -77,6 +83,8 @@ def test_archives(spark, tmp_path):
     one = gzip.compress(warc("response", "http://a", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>"))
     two = gzip.compress(warc("conversion", "http://b", "tëxt".encode()))
     (tmp_path / "x.warc.gz").write_bytes(one + gzip.compress(warc("request", "http://c", b"GET")) + two)
+    (tmp_path / "plain.warc").write_bytes(warc("response", "http://p", b"HTTP/1.1 404 No\r\n\r\nx"))
+    assert [r["http_status"] for r in S.read_commoncrawl(spark, str(tmp_path / "plain.warc"))] == [404]
     rows = {r["url"]: r for r in S.read_commoncrawl(spark, str(tmp_path / "x.warc.gz"))}
     assert rows["http://a"]["http_status"] == 200 and bytes(rows["http://a"]["content"]) == b"<p>" and rows["http://a"]["headers"]["x"] == ["1", "2"]
     assert rows["http://b"]["text"] == "tëxt" and set(rows) == {"http://a", "http://b"}
@@ -153,6 +161,10 @@ def test_episode_dataset_round_trip(spark, tmp_path):
     assert sorted((r["episode_index"], r["length"]) for r in data.episodes.collect()) == [(0, 2), (1, 1), (2, 2)]
     got = sorted((r["index"], r["episode_index"], r["frame_index"], r["task_index"]) for r in data.frames.collect())
     assert [g[0] for g in got] == [0, 1, 2, 3, 4] and [g[2] for g in got] == [0, 1, 0, 0, 1]
+    told = json.loads((tmp_path / "d/meta/stats.json").read_text())["action"]
+    assert (told["min"], told["max"], told["mean"], told["count"]) == ([1.0], [5.0], [3.0], [5])
+    of = {r["episode_index"]: (r["stats/action/mean"], r["stats/action/std"], r["stats/action/count"]) for r in data.episodes.collect()}
+    assert of == {0: ([1.5], [0.5], [2]), 1: ([3.0], [0.0], [1]), 2: ([4.5], [0.5], [2])}
     nested = {r["episode_index"]: len(r["frames"]) for r in data.nested().collect()}
     assert nested == {0: 2, 1: 1, 2: 2}
 
