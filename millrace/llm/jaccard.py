@@ -391,7 +391,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     measured = checkpointed(mapped(known, _measure, columns))
     some = measured.filter("n > 0")
     # Equal sets: the smallest id stands for all.
-    first = some.groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
+    first = checkpointed(some.groupBy("one", "two", "n").agg(F.min("id").alias("rep")))  # a table of its own, so that the join can split a hot set
     reps = checkpointed(some.select("id", "one", "two", "n").join(first, ["one", "two", "n"]).groupBy("id").agg(F.min("rep").alias("rep")))
     groups = checkpointed(_candidates(known, units(docs, least=LEAST_UNITS)).join(reps, "id").select("gid", F.col("rep").alias("id")).distinct())
     # Of groups of the same documents one is enough.
