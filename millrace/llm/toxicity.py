@@ -22,7 +22,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import types as T
 
 from millrace.llm.common import mapped, release, sigmoid, table
 from millrace.llm.labelled import SAMPLE_ROWS, held_out, sample
@@ -130,13 +129,33 @@ def _blocks(at: np.ndarray, n: np.ndarray, y: np.ndarray, rng: np.random.Generat
     return out
 
 
-def _leading(whole: _Block, error: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Leading eigenvectors, FACTORS rows, of the matrix that has for each two buckets minus the errors of the rows with both."""
-    diagonal = whole.back(error)
-    v = np.linalg.qr(rng.normal(size=(len(whole.found), FACTORS)))[0].T
+def _orthonormal(v: np.ndarray) -> np.ndarray:
+    """Rows that span what the rows of ``v`` span, at right angles and of length one.
+
+    By the Cholesky factor of their products, which takes one copy of ``v`` where a QR
+    decomposition takes four; where that is singular, by QR.
+    """
+    try:
+        return np.linalg.inv(np.linalg.cholesky(v @ v.T)) @ v
+    except np.linalg.LinAlgError:
+        return np.linalg.qr(v.T)[0].T
+
+
+def _leading(blocks: list[_Block], errors: list[np.ndarray], wide: int, rng: np.random.Generator) -> np.ndarray:
+    """Leading eigenvectors, FACTORS rows, of the matrix that has for each two of ``wide`` buckets the errors of the rows with both.
+
+    It is never built: its products are added up block by block.
+    """
+    diagonal = np.zeros(wide)
+    for b, e in zip(blocks, errors, strict=True):
+        diagonal[b.found] += b.back(e)
+    v = _orthonormal(rng.normal(size=(wide, FACTORS)).T)
     for _ in range(PAIR_ROUNDS):
-        v = np.array([whole.back(error * whole.sums(f)) - diagonal * f for f in v])
-        v = np.linalg.qr(v.T)[0].T
+        turned = -diagonal * v
+        for b, e in zip(blocks, errors, strict=True):
+            for f, t in zip(v, turned, strict=True):
+                t[b.found] += b.back(e * b.sums(f[b.found]))
+        v = _orthonormal(turned)
     return v
 
 
@@ -162,12 +181,12 @@ def fit(kept: np.ndarray, at: np.ndarray, n: np.ndarray, y: np.ndarray, rate: fl
     w, g, bias, gb = np.zeros(len(kept)), np.full(len(kept), 1e-6), prior, 1e-6
     v, gv = np.zeros((FACTORS, len(kept))), 1e-6
     blocks = _blocks(at, n, y, rng)
+    del at
     paired = [b.only(np.zeros(len(kept), bool)) for b in blocks]  # the entries of buckets whose factors move
     for epoch in range(WEIGHT_EPOCHS + max(JOINT_EPOCHS, JOINT_STEPS // len(blocks))):
         if epoch == WEIGHT_EPOCHS:
-            whole = _Block(at, n, y)
-            v = _leading(whole, (y - sigmoid(bias + whole.sums(w))) * whole.cost, rng)
-            del whole
+            errors = [(b.y - sigmoid(bias + b.sums(w[b.found]))) * b.cost * len(b.n) for b in blocks]
+            v = _leading(blocks, errors, len(kept), rng)
             v = _shrunk(v * 0.2 / np.abs(v).max(1, keepdims=True).clip(1e-12), 0.05)
             g[:], gb = 1e-6, 1e-6
         if epoch >= WEIGHT_EPOCHS:
