@@ -10,6 +10,7 @@ cells are ranked by the exact inner product.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import mapped, table
 
 #: Rows that the centroids are fitted on at most, the first by a hash of their ids.
 FIT_ROWS = 16384
@@ -27,8 +28,10 @@ FIT_ROWS = 16384
 CENTROIDS = 128
 #: Share of all rows that a query's cells hold at least, and the least number of rows.
 SHARE, LEAST_ROWS = 0.42, 1000
-#: Rows and queries that one task ranks against each other at a time.
-BLOCK_ROWS, BLOCK_QUERIES = 16384, 16384
+#: Rows that one task holds at a time, about.
+BLOCK_ROWS = 16384
+#: Columns of rows and of queries dealt to blocks; the latter have no cell of their own but the bits of cells.
+_DEALT = ["unit", "cell", "id", "v", "cells"]
 
 
 @dataclass
@@ -48,6 +51,15 @@ class Index:
         h = self.dim // 2
         return tuple(np.argmax(part @ c.T - 0.5 * (c**2).sum(1), axis=1) for part, c in zip((x[:, :h], x[:, h:]), self.halves, strict=True))
 
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest and the largest first centroid of each block."""
+        n = int((self.block + self.salts).max())
+        low, high = np.full(n, len(self.block)), np.full(n, -1)
+        for i, (start, salts) in enumerate(zip(self.block.tolist(), self.salts.tolist(), strict=True)):
+            own = slice(start, start + salts)
+            low[own], high[own] = np.minimum(low[own], i), np.maximum(high[own], i)
+        return low, high
+
     def walk(self, q: np.ndarray, want: int) -> np.ndarray:
         """Which cells the query visits until they hold ``want`` rows."""
         h = self.dim // 2
@@ -132,6 +144,18 @@ def build(rows: DataFrame, k: int = 20) -> Index | None:
     return index
 
 
+def _distinct(rows: pa.Table, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, ids, cells) by id, of equal vectors the first ``k`` + 1."""
+    x, eid, cell = _matrix(rows["v"], dim), rows["id"].to_numpy(), rows["cell"].to_numpy()
+    order = np.argsort(eid, kind="stable")
+    x, eid, cell = x[order], eid[order], cell[order]
+    _, same = np.unique(x, axis=0, return_inverse=True)
+    by = np.argsort(same, kind="stable")
+    nth = np.empty(len(x), np.int64)
+    nth[by] = np.arange(len(x)) - np.searchsorted(same[by], same[by])
+    return x[nth <= k], eid[nth <= k], cell[nth <= k]
+
+
 def _best(q: np.ndarray, qid: np.ndarray, e: np.ndarray, eid: np.ndarray, ok: np.ndarray, k: int):
     """(query row, id, score) of the k best allowed rows of each query; ties go to smaller ids.
 
@@ -152,69 +176,73 @@ def _best(q: np.ndarray, qid: np.ndarray, e: np.ndarray, eid: np.ndarray, ok: np
 def search(rows: DataFrame, queries: DataFrame, index: Index, k: int, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's ``k`` nearest found, itself left out.
 
-    Rows are dealt to blocks by their first centroid, those of a centroid with many rows to
-    several by a hash of the id; a query goes once to each block that its walk touches. Of
+    Each row goes once, to the block of its first centroid, those of a centroid with many rows to
+    several by a hash of the id; a query goes once to each block that its walk touches,
+    with the cells of that block that it visits. Blocks are sorted before their queries, so that a
+    task holds the rows of one block and passes the queries by them, however many there are. Of
     rows with one vector only the ``k`` + 1 smallest ids of a block are ranked, as no more
     can be among the nearest.
     """
     sent = rows.sparkSession.sparkContext.broadcast(index)
     want = max(math.ceil(share * index.ranked), min(LEAST_ROWS, index.ranked), k + 1)
-    blocks = int(index.block.max() + index.salts[index.block.argmax()])
-    parts = max(1, math.ceil(index.rows / 20 / BLOCK_QUERIES))
+    blocks = int((index.block + index.salts).max())
 
     def deal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             i, j = m.cells(_matrix(b.column(1), m.dim))
-            block = m.block[i] + np.asarray(b.column(2)) % m.salts[i]
-            for p in range(parts):
-                yield pa.RecordBatch.from_arrays([pa.array(block * parts + p), pa.array(i * len(m.halves[1]) + j), b.column(0), b.column(1)], ["unit", "cell", "id", "v"])
+            unit = m.block[i] + np.asarray(b.column(2)) % m.salts[i]
+            cell = (i - m.spans()[0][unit]) * len(m.halves[1]) + j
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(cell), b.column(0), b.column(1), pa.nulls(len(b), pa.binary())], _DEALT)
 
     def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        wide = len(m.halves[1])
+        low_first, high_first = m.spans()
         for whole in batches:
             for low in range(0, len(whole), 64):
                 b = whole.slice(low, 64)
-                x, part = _matrix(b.column(1), m.dim), np.asarray(b.column(2)) % parts
                 units, at, bits = [], [], []
-                for r, q in enumerate(x):
-                    seen = m.walk(q, want)
-                    packed = np.packbits(seen).tobytes()
-                    touched = np.flatnonzero(seen.reshape(-1, wide).any(1))
+                for r, q in enumerate(_matrix(b.column(1), m.dim)):
+                    seen = m.walk(q, want).reshape(len(m.halves[0]), -1)
+                    touched = np.flatnonzero(seen.any(1))
                     for u in np.unique(np.concatenate([np.arange(m.block[i], m.block[i] + m.salts[i]) for i in touched])).tolist():
-                        units.append(u * parts + int(part[r]))
+                        units.append(u)
                         at.append(r)
-                        bits.append(packed)
-                yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(bits, pa.binary())], ["unit", "id", "v", "cells"])
+                        bits.append(np.packbits(seen[low_first[u] : high_first[u] + 1]).tobytes())
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(np.full(len(at), -1)), b.column(0).take(at), b.column(1).take(at), pa.array(bits, pa.binary())], _DEALT)
 
-    def rank(e: pa.Table, q: pa.Table) -> pa.Table:
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(e) and len(q):
-            x, eid, cell = _matrix(e["v"], m.dim), e["id"].to_numpy(), e["cell"].to_numpy()
-            order = np.argsort(eid, kind="stable")
-            x, eid, cell = x[order], eid[order], cell[order]
-            _, same = np.unique(x, axis=0, return_inverse=True)
-            by = np.argsort(same, kind="stable")
-            nth = np.empty(len(x), np.int64)
-            nth[by] = np.arange(len(x)) - np.searchsorted(same[by], same[by])
-            x, eid, cell = x[nth <= k], eid[nth <= k], cell[nth <= k]
-            y, qid = _matrix(q["v"], m.dim), q["id"].to_numpy()
-            bits = np.frombuffer(b"".join(q["cells"].to_pylist()), np.uint8).reshape(len(y), -1)
-            for low in range(0, len(y), 256):
-                some = slice(low, low + 256)
-                ok = np.unpackbits(bits[some], axis=1)[:, cell].astype(bool)
-                qi, ids, scores = _best(y[some], qid[some], x, eid, ok, k)
-                for part, new in zip(out, (qid[some][qi], ids, scores), strict=True):
-                    part.append(new)
-        kinds = (np.int64, np.int64, np.float64)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate([np.zeros(0, t), *p]).astype(t) for p, t in zip(out, kinds, strict=True)), strict=True)))
+        unit, held, block = None, [], None
+        for whole in batches:
+            units, query = whole.column(0).to_numpy(), whole.column(1).to_numpy() < 0
+            cuts = np.flatnonzero(np.diff(units * 2 + query)) + 1
+            for low, high in itertools.pairwise([0, *cuts.tolist(), len(units)]):
+                if high == low:
+                    continue
+                part = whole.slice(low, high - low)
+                if units[low] != unit:
+                    unit, held, block = units[low], [], None
+                if not query[low]:
+                    held.append(part.select([1, 2, 3]))
+                    continue
+                if block is None and held:
+                    block, held = _distinct(pa.Table.from_batches(held), m.dim, k), []
+                for some in range(0, len(part) if block else 0, 256):
+                    b = part.slice(some, 256)
+                    x, eid, cell = block
+                    bits = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(len(b), -1)
+                    ok, qid = np.unpackbits(bits, axis=1)[:, cell].astype(bool), b.column(2).to_numpy()
+                    qi, ids, scores = _best(_matrix(b.column(3), m.dim), qid, x, eid, ok, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[qi], pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
 
     salt = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")
-    e = rows.filter(F.size("v") == index.dim).select("id", "v", salt).mapInArrow(deal_rows, "unit long, cell long, id long, v array<double>")
-    q = queries.filter(F.size("v") == index.dim).select("id", "v", salt).repartition(max(8, blocks)).mapInArrow(deal_queries, "unit long, id long, v array<double>, cells binary")
-    near = e.groupBy("unit").cogroup(q.groupBy("unit")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    schema = "unit long, cell long, id long, v array<double>, cells binary"
+    e = rows.filter(F.size("v") == index.dim).select("id", "v", salt).mapInArrow(deal_rows, schema)
+    q = queries.filter(F.size("v") == index.dim).select("id", "v", salt).repartition(max(8, blocks)).mapInArrow(deal_queries, schema)
+    dealt = e.unionByName(q).repartition(max(8, blocks), "unit").sortWithinPartitions("unit", F.col("cell") < 0, "id")
+    near = mapped(dealt, rank, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
