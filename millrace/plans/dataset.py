@@ -16,6 +16,9 @@ from millrace.functions.types import apply_dtypes, field as typed
 from millrace.plans import steps
 from millrace.plans.row import Row
 
+#: Shards that can be listed.
+MAX_SHARDS = 10_000
+
 
 def _free(*names: str) -> None:
     for n in names:
@@ -175,8 +178,11 @@ class Dataset:
         return self._shown().schema
 
     def list_shards(self) -> list[int]:
-        """Numbers of the partitions that the plan reads or makes."""
-        return list(range(self.df.rdd.getNumPartitions()))
+        """Numbers of the partitions that the plan reads or makes; more than MAX_SHARDS are an error."""
+        n = self.df.rdd.getNumPartitions()
+        if n > MAX_SHARDS:
+            raise ValueError(f"{n} shards; {MAX_SHARDS} can be listed")
+        return list(range(n))
 
     def plan(self) -> str:
         """The steps as JSON; callbacks by name."""

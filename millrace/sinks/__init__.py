@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from millrace.functions.types import apply_dtypes
 from millrace.shared import checkpointed
 from millrace.sinks.assets import BlobAssets, FileAssets, write_assets
+from millrace.sinks.base import NamedFilesSink, Sink
 
-__all__ = ["BlobAssets", "EpisodeSink", "FileAssets", "JsonlSink", "LanceSink", "NullSink", "ParquetSink", "ZarrSink", "write_assets"]
+__all__ = ["BlobAssets", "EpisodeSink", "FileAssets", "JsonlSink", "LanceSink", "NamedFilesSink", "NullSink", "ParquetSink", "Sink", "ZarrSink", "write_assets"]
 
 
 def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
