@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from millrace.functions.expr import Expr, col, lower
 from millrace.plans.dataset import Dataset
 from millrace.plans.row import Row
-from millrace.sources.blobs import read_blob
+from millrace.sources.blobs import BATCH_BYTES, from_streams, read_blob
 
 
 def filter_html() -> Expr:
@@ -93,32 +93,68 @@ def _row(r: dict[str, Any]) -> dict[str, Any]:
     return {"url": h.get("warc-target-uri"), "date": h.get("warc-date"), "record_id": h.get("warc-record-id"), "record_type": h.get("warc-type"), "http_status": r["http_status"], "headers": _lists(h), "http_headers": _lists(r["http_headers"]), "content": None if wet else r["body"], "text": r["body"].decode("utf-8", "replace") if wet else None}
 
 
-def read_commoncrawl(spark: SparkSession, inputs: str | Sequence[str], output_fields: Sequence[str] | None = None) -> Dataset:
-    """All response and conversion records of the archives (WARC or WET, plain or gzip), a task a file.
-
-    Header names are lower case and have a list of values, for those that come again.
+#: The root of the public archives, and the ends of the names of their files.
+CRAWL_ROOT, SUFFIXES = "s3://commoncrawl", {"warc": ".warc.gz", "wet": ".warc.wet.gz"}
+
+
+def archive_paths(spark: SparkSession, dumps: str | Sequence[str], archive_format: str = "warc", segments: str | Sequence[str] | None = None, num_files: int | None = None, root: str = CRAWL_ROOT) -> list[str]:
+    """Globs of the archives of whole dumps, or of some segments; with ``num_files`` the first files by path."""
+    if archive_format not in SUFFIXES:
+        raise ValueError(f"format {archive_format!r} is none of {', '.join(SUFFIXES)}")
+    if num_files is not None and num_files <= 0:
+        raise ValueError("num_files must be positive")
+    dumps, segments = ([x] if isinstance(x, str) else list(x or ()) for x in (dumps, segments))
+    if not dumps:
+        raise ValueError("no dumps")
+    globs = [f"{root.rstrip('/')}/crawl-data/{d}/segments/{s}/{archive_format}/*{SUFFIXES[archive_format]}" for d in dumps for s in segments or ["*"]]
+    if num_files is None:
+        return globs
+    found = []
+    for g in globs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(g)
+        found += [str(f.getPath()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or ()]
+    if not found:
+        raise FileNotFoundError(globs[0])
+    return sorted(set(found))[:num_files]
+
+
+def read_commoncrawl(spark: SparkSession, inputs: str | Sequence[str] | None = None, output_fields: Sequence[str] | None = None, dumps: str | Sequence[str] | None = None, archive_format: str = "warc", segments: str | Sequence[str] | None = None, num_files: int | None = None, root: str = CRAWL_ROOT, file_path_column: str | None = None) -> Dataset:
+    """All response and conversion records of the archives (WARC or WET, plain or gzip), read as streams.
+
+    The archives are those at ``inputs``, or those of ``dumps`` under ``root``. Header names are
+    lower case and have a list of values, for those that come again. ``output_fields`` names
+    columns, or headers of the archive or else of the response in any case, of which the first value is
+    given, null where there is none.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    from millrace.sources.tabular import read_files
-
-    arrow = to_arrow_schema(_RECORD)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0):
-                raw = pa.BufferReader(data.as_buffer())
-                f = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else io.BufferedReader(raw)
-                held: list[dict] = []
-                for r in records(f):
-                    held.append(_row(r))
-                    if len(held) >= 64:
-                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                        held = []
+    if (inputs is None) == (dumps is None):
+        raise ValueError("either inputs or dumps")
+    if inputs is None:
+        inputs = archive_paths(spark, dumps, archive_format, segments, num_files, root)
+    schema = T.StructType([*_RECORD, T.StructField("__path", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(path: str, raw: BinaryIO) -> Iterator[pa.RecordBatch]:
+        f = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
+        held: list[dict] = []
+        size = 0
+        for r in records(f):
+            held.append(_row(r) | {"__path": path})
+            size += len(r["body"])
+            if len(held) >= 64 or size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                held, size = [], 0
+        yield pa.RecordBatch.from_pylist(held, schema=arrow)
+
+    def first(name: str):
+        if name in _RECORD.names:
+            return F.col(name)
+        return F.coalesce(*(F.get(F.col(h)[name.lower()], F.lit(0)) for h in ("headers", "http_headers"))).alias(name)
 
-    df = read_files(spark, inputs, content_column="content", size_column=None).df.select("content").mapInArrow(run, _RECORD)
-    return Dataset(df.select(*output_fields) if output_fields else df, (("read_commoncrawl", None),))
+    df = from_streams(spark, inputs, run, schema)
+    path = [F.col("__path").alias(file_path_column)] if file_path_column else []
+    return Dataset(df.select(*map(first, output_fields or _RECORD.names), *path), (("read_commoncrawl", None),))
 
 
 def read_commoncrawl_from_index(spark: SparkSession, index: str | Sequence[str], root: str, filter: Expr | None = None, filter_fn: Callable[[Row], bool] | None = None, parallelism: int | None = None) -> Dataset:  # noqa: A002

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import io
 import struct
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
-from typing import Any
+from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.types import field
 from millrace.plans.dataset import Dataset
+from millrace.sources.blobs import BATCH_BYTES, BATCH_ROWS, from_streams
 
 
 def _varint(b: memoryview, at: int) -> tuple[int, int]:
@@ -76,26 +78,55 @@ def example(data: bytes) -> dict[str, list]:
     return out
 
 
-def payloads(data: bytes, compression: str = "auto") -> Iterator[bytes]:
-    if compression == "gzip" or compression == "auto" and data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    elif compression == "zlib" or compression == "auto" and data[:1] == b"\x78" and len(data) > 2 and not (data[0] << 8 | data[1]) % 31:
-        data = zlib.decompress(data)
-    at = 0
-    while at < len(data):
-        if at + 12 > len(data):
-            raise EOFError("a record is cut off")
-        (size,) = struct.unpack_from("<Q", data, at)
-        if at + 16 + size > len(data):
+class _Inflated(io.RawIOBase):
+    """What a zlib stream holds."""
+
+    def __init__(self, f: BinaryIO):
+        self.f, self.z = f, zlib.decompressobj()
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        got = b""
+        while not got and not self.z.eof:
+            data = self.z.unconsumed_tail or self.f.read(1 << 16)
+            if not data:
+                raise EOFError("a compressed file is cut off")
+            got = self.z.decompress(data, len(out))
+        out[: len(got)] = got
+        return len(got)
+
+
+def _packed(head: bytes) -> str:
+    """How a file that begins so is compressed. A plain one begins with the size of a record, whose upper half is 0."""
+    if head[:3] == b"\x1f\x8b\x08":
+        return "gzip"
+    if head[:1] == b"\x78" and len(head) > 2 and not (head[0] << 8 | head[1]) % 31 and head[4:8] != bytes(4):
+        return "zlib"
+    return "none"
+
+
+def payloads(f: BinaryIO, compression: str = "auto") -> Iterator[bytes]:
+    """The records of a file, one held at a time."""
+    f = io.BufferedReader(f)
+    if compression == "auto":
+        compression = _packed(f.peek(8)[:8])
+    if compression == "gzip":
+        f = gzip.GzipFile(fileobj=f)
+    elif compression == "zlib":
+        f = io.BufferedReader(_Inflated(f))
+    while head := f.read(12):
+        if len(head) == 12:
+            (size,) = struct.unpack_from("<Q", head)
+            body = f.read(size + 4)
+        if len(head) < 12 or len(body) < size + 4:
             raise EOFError("a record is cut off")
-        yield data[at + 12 : at + 12 + size]
-        at += 16 + size
+        yield body[:size]
 
 
 def read_tfrecords(spark: SparkSession, inputs: str | Sequence[str], features: Mapping[str, Any], compression: str = "auto") -> Dataset:
-    """Examples with the declared features; a type that is no array takes the first value, a missing one is null."""
-    from millrace.sources.tabular import read_files
-
+    """Examples with the declared features; a type that is no array takes the first value, a missing one is null. Files are read as streams."""
     schema = T.StructType([field(n, t) for n, t in features.items()])
     arrow = to_arrow_schema(schema)
 
@@ -107,12 +138,16 @@ def read_tfrecords(spark: SparkSession, inputs: str | Sequence[str], features: M
             x = [v.decode("utf-8", "replace") if isinstance(v, bytes) else v for v in x]
         return x if isinstance(t, T.ArrayType) else x[0] if x else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = [example(p) for p in payloads(data, compression)]
-                for i in range(0, len(rows), 2048):
-                    yield pa.RecordBatch.from_pylist([{f.name: value(r.get(f.name), f.dataType) for f in schema} for r in rows[i : i + 2048]], schema=arrow)
-
-    df = read_files(spark, inputs, content_column="content", size_column=None).df.select("content").mapInArrow(run, schema)
-    return Dataset(df, (("read_tfrecords", None),))
+    def run(_: str, f: BinaryIO) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
+        for p in payloads(f, compression):
+            r = example(p)
+            held.append({x.name: value(r.get(x.name), x.dataType) for x in schema})
+            size += len(p)
+            if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                held, size = [], 0
+        yield pa.RecordBatch.from_pylist(held, schema=arrow)
+
+    return Dataset(from_streams(spark, inputs, run, schema), (("read_tfrecords", None),))

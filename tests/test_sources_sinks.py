@@ -1,6 +1,8 @@
 import gzip
+import io
 import json
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +96,39 @@ def test_archives(spark, tmp_path):
     assert got["url"] == "http://a" and bytes(got["content"]) == b"<p>"
 
 
+def test_archives_of_dumps(spark, tmp_path):
+    def put(dump, segment, name, url):
+        folder = tmp_path / "crawl data" / "crawl-data" / dump / "segments" / segment / "warc"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(gzip.compress(warc("response", url, b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\nx")))
+
+    put("D-1", "s1", "a.warc.gz", "http://1a")
+    put("D-1", "s2", "b.warc.gz", "http://1b")
+    put("D-2", "s1", "c.warc.gz", "http://2c")
+    root = str(tmp_path / "crawl data")
+    urls = lambda **k: sorted(r["url"] for r in S.read_commoncrawl(spark, root=root, **k))
+    assert urls(dumps=["D-1", "D-2"]) == ["http://1a", "http://1b", "http://2c"]
+    assert urls(dumps="D-1", segments="s2") == ["http://1b"]
+    assert urls(dumps=["D-1", "D-2"], num_files=2) == ["http://1a", "http://1b"]
+    (row,) = S.read_commoncrawl(spark, None, ["url", "X", "Server", "none"], "D-2", root=root, file_path_column="warc_path")
+    assert [row[k] for k in ("url", "X", "Server", "none")] == ["http://2c", "1", "s", None] and row["warc_path"].endswith("/c.warc.gz")
+    for bad in ({}, {"dumps": []}, {"dumps": "D-1", "num_files": 0}, {"dumps": "D-1", "archive_format": "wat"}, {"inputs": "x", "dumps": "D-1"}):
+        with pytest.raises(ValueError):
+            S.read_commoncrawl(spark, root=root, **bad)
+    with pytest.raises(FileNotFoundError):
+        S.read_commoncrawl(spark, dumps="D-3", num_files=1, root=root)
+
+
+def test_record_streams():
+    plain = [b"x" * 376, b"", b"y" * 100_000]  # the first size begins like a zlib stream
+    data = b"".join(struct.pack("<Q", len(x)) + b"0000" + x + b"0000" for x in plain)
+    for packed in (data, gzip.compress(data), zlib.compress(data)):
+        assert list(tfrecord.payloads(io.BytesIO(packed))) == plain
+        with pytest.raises(EOFError):
+            list(tfrecord.payloads(io.BytesIO(packed[:-9])))
+    assert list(tfrecord.payloads(io.BytesIO(b""))) == []
+
+
 def _msg(number, body, wire=2):
     head = bytes([number << 3 | wire])
     return head + bytes([len(body)]) + body if wire == 2 else head + body
@@ -110,7 +145,7 @@ def test_record_files(spark, tmp_path):
     rows = S.read_tfrecords(spark, str(tmp_path / "*.tfrecord"), {"id": "int64", "text": "string", "v": "array<float>", "none": "string"}).materialize()
     assert [dict(r) for r in rows] == [{"id": 5, "text": "hi", "v": [1.5, 2.5], "none": None}] * 2
     with pytest.raises(EOFError):
-        list(tfrecord.payloads(data[:-3]))
+        list(tfrecord.payloads(io.BytesIO(data[:-3])))
 
 
 def test_array_store_round_trip(spark, tmp_path):
@@ -148,6 +183,9 @@ def test_robot_log(spark, tmp_path):
     assert len(S.read_mcap(spark, str(tmp_path / "l.mcap"), fields).materialize()) == 6
     held = sorted(S.read_mcap(spark, str(tmp_path / "l.mcap"), fields, "q", "hold"), key=lambda r: r["frame_index"])
     assert [r["u"] for r in held] == [None, 1.0, 3.0]
+    every = S.read_mcap(spark, str(tmp_path / "l.mcap"), sync_primary="/state.q")
+    assert [(r["/state.q"], r["/target.u"]) for r in sorted(every, key=lambda r: r["frame_index"])] == [([10], 1.0), ([20], 2.0), ([30], 3.0)]
+    assert dict(every.df.dtypes)["/target.u"] == "double" and dict(every.df.dtypes)["/state.q"] == "array<bigint>"
     assert mcap.split_source("/a.b.c", ["/a", "/a.b"]) == ("/a.b", ["c"])
 
 
