@@ -115,13 +115,23 @@ class _Caller:
             if (messages is None) == (raw_payload is None):
                 raise ValueError("give either messages or raw_payload")
             own = {"messages": messages} if raw_payload is None else dict(raw_payload)
-            payload = {"model": self.provider.model, **self.defaults, **own, **params}
+            payload = {"model": self.provider.model, **self._asked(), **self.defaults, **own, **params}
             async with gate:
                 got = await with_retries(lambda: self.provider.send("chat/completions" if self.kind == "text" else "pooling", payload), self.retries)
             return self._answer(got)
 
         return await self.fn(row, request)
 
+    def _asked(self) -> dict:
+        """The wanted structure of the answer, for servers that hold to it; a mapping is a JSON schema itself."""
+        if self.schema is None:
+            return {}
+        is_model = hasattr(self.schema, "model_json_schema")
+        if not is_model and not isinstance(self.schema, Mapping):
+            return {"response_format": {"type": "json_object"}}
+        name, schema = (self.schema.__name__, self.schema.model_json_schema()) if is_model else (self.schema.get("title", "answer"), dict(self.schema))
+        return {"response_format": {"type": "json_schema", "json_schema": {"name": name, "schema": schema, "strict": True}}}
+
     def _answer(self, got: Mapping[str, Any]) -> Any:
         if self.kind == "pooling":
             return got["data"]
@@ -186,6 +196,39 @@ def subtask_annotation(provider: Any, prompt: Callable[[Row], list], output: str
     return generate_text(annotate, provider)
 
 
+def subtask_labeling(provider: Any, prompt: Callable[[Row, Any, Any, Any], list], segments: str = "segments", output: str = "labeled_segments", when_blocked: str = "seed") -> Callable[[Row], Awaitable[Any]]:
+    """A callback that labels given segments anew, one request each, into ``output``; their times stay.
+
+    ``prompt`` gets the row, the segment before, the segment and the one after, None at the ends. New labels are
+    in lower case with single spaces. A segment keeps its own label where the new one is empty, and
+    where the server refuses the request, unless ``when_blocked`` is "raise".
+    """
+    if when_blocked not in ("seed", "raise"):
+        raise ValueError(when_blocked)
+    schema = {"title": "Label", "type": "object", "properties": {"label": {"type": "string"}}, "required": ["label"], "additionalProperties": False}
+
+    async def relabel(row: Row, request: Callable) -> dict:
+        given = list(row[segments] or [])
+
+        async def one(i: int) -> dict:
+            around = [None, *given, None]
+            try:
+                label = " ".join(str((await request(messages=prompt(row, *around[i : i + 3])))["label"] or "").lower().split())
+            except RequestError as e:
+                if when_blocked == "raise" or e.status != 400:
+                    raise
+                label = ""
+            return {**_plain(given[i]), "label": label or _plain(given[i]).get("label")}
+
+        return {output: [await one(i) for i in range(len(given))]}
+
+    return generate_text(relabel, provider, output_schema=schema)
+
+
+def _plain(segment: Any) -> dict:
+    return segment.asDict() if hasattr(segment, "asDict") else dict(segment)
+
+
 def track_hands(model: Callable[[list[Row]], list[dict]], output: str = "hands") -> Callable[[list[Row]], list[Row]]:
     """A callback for ``batch_map``: one result of ``model`` for each row."""
 

@@ -113,14 +113,19 @@ def _put(root: str, files: Mapping[str, bytes]) -> None:
             f.write(data)
 
 
+#: Row ends in a chunk of their array.
+ENDS_CHUNK = 1 << 16
+
+
 @dataclass(frozen=True)
 class ZarrSink:
     """Rows appended along the first axis of arrays, with cumulative row ends.
 
     ``arrays`` maps array paths to columns of (nested) numbers. Arrays of a row must be of one
-    length, and all rows of one inner shape and type. Each row is a chunk range of its own: its
-    task writes the chunks that begin in it, so that rows are written in parallel; the
-    offsets come from a running sum of lengths over ``order``.
+    length, and all rows of one inner shape and type. Chunks hold as many entries of the first axis
+    as make ``chunk_bytes``, one at least. Offsets come from a running sum of lengths over
+    ``order``; rows are cut at the ends of chunks, and the pieces of a chunk meet in one task,
+    which writes it whole, again after a failure.
     """
 
     output: str
@@ -128,49 +133,79 @@ class ZarrSink:
     attrs: Mapping[str, Any] = field(default_factory=dict)
     order: str | None = None
     ends_path: str = "meta/episode_ends"
+    chunk_bytes: int = 4 << 20
 
     def write(self, df: DataFrame) -> dict:
-        from millrace.operators.offsets import running_offsets
+        from millrace.operators.offsets import global_index, running_offsets
 
         if not self.arrays:
             raise ValueError("no arrays")
-        columns = dict(self.arrays)
+        if self.chunk_bytes < 1:
+            raise ValueError("chunk_bytes is positive")
+        columns, output = dict(self.arrays), self.output
         some = next(iter(columns.values()))
         keyed = df.withColumn("__order", F.col(self.order)) if self.order else checkpointed(df.withColumn("__order", F.monotonically_increasing_id()))
-        sized = keyed.select("__order", *columns.values(), F.size(some).cast("bigint").alias("__n"), *(F.size(c).alias(f"__n_{i}") for i, c in enumerate(columns.values())))
+        sized = keyed.select("__order", *dict.fromkeys(columns.values()), F.size(some).cast("bigint").alias("__n"), *(F.size(c).alias(f"__n_{i}") for i, c in enumerate(columns.values())))
         odd = sized.filter(" OR ".join(f"__n_{i} <> __n" for i in range(len(columns)))).limit(1).count()
         if odd:
             raise ValueError("arrays of a row are of several lengths")
-        placed = running_offsets(sized, [], "__order", "__n", "__low").select("__order", "__low", "__n", *columns.values())
-        sample = placed.limit(1).collect()
+        placed = checkpointed(running_offsets(sized, [], "__order", "__n", "__low").select("__low", "__n", *dict.fromkeys(columns.values())))
+        sample = placed.filter("__n > 0").limit(1).collect() or placed.limit(1).collect()
         shapes = {p: np.asarray(sample[0][c]) for p, c in columns.items()} if sample else {}
-        output = self.output
+        steps = {p: max(1, self.chunk_bytes // max(1, x.dtype.itemsize * math.prod(x.shape[1:]))) for p, x in shapes.items()}
 
-        def store(batches):
+        def cut(batches):
             import pyarrow as pa
 
             for b in batches:
-                done = []
                 for r in b.to_pylist():
-                    files = {}
+                    low, out = r["__low"], []
                     for path, c in columns.items():
-                        x = np.asarray(r[c], shapes[path].dtype)
-                        if x.shape[1:] != shapes[path].shape[1:]:
+                        x, step = np.asarray(r[c], shapes[path].dtype), steps[path]
+                        if len(x) and x.shape[1:] != shapes[path].shape[1:]:
                             raise ValueError(f"{path}: shape {x.shape[1:]} after {shapes[path].shape[1:]}")
-                        for i in range(len(x)):
-                            files[f"{path}/{'.'.join(map(str, (r['__low'] + i, *([0] * (x.ndim - 1)))))}"] = np.ascontiguousarray(x[i]).tobytes()
-                    _put(output, files)
-                    done.append(r["__low"] + r["__n"])
-                yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["end"])
-
-        ends = sorted(r["end"] for r in placed.mapInArrow(store, "end long").collect())
-        size = ends[-1] if ends else 0
+                        for k in range(low // step, -(-(low + len(x)) // step)):
+                            first, last = max(low, k * step), min(low + len(x), (k + 1) * step)
+                            out.append((path, k, first - k * step, np.ascontiguousarray(x[first - low : last - low]).tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["path", "chunk", "at", "data"])
+
+        def join(pieces):
+            import pyarrow as pa
+
+            path, number = pieces["path"][0].as_py(), pieces["chunk"][0].as_py()
+            x = shapes[path]
+            one = x.dtype.itemsize * math.prod(x.shape[1:])
+            data = bytearray(one * steps[path])
+            for at, part in zip(pieces["at"].to_pylist(), pieces["data"].to_pylist(), strict=True):
+                data[at * one : at * one + len(part)] = part
+            _put(output, {f"{path}/{'.'.join(map(str, (number, *([0] * (x.ndim - 1)))))}": bytes(data)})
+            return pa.table({"written": [number]})
+
+        ends_path = self.ends_path
+
+        def join_ends(rows):
+            import pyarrow as pa
+
+            data = np.zeros(ENDS_CHUNK, "<i8")
+            at = rows["at"].to_numpy()
+            data[at] = rows["end"].to_numpy()
+            number = rows["chunk"][0].as_py()
+            _put(output, {f"{ends_path}/{number}": data.tobytes()})
+            return pa.table({"written": [number]})
+
+        pieces = placed.filter("__n > 0").mapInArrow(cut, "path string, chunk long, at long, data binary")
+        pieces.groupBy("path", "chunk").applyInArrow(join, "written long").write.format("noop").mode("overwrite").save()
+        ends = global_index(placed.select((F.col("__low") + F.greatest("__n", F.lit(0))).alias("end")), "end", "__i")
+        ends = ends.select("end", F.floor(F.col("__i") / ENDS_CHUNK).alias("chunk"), (F.col("__i") % ENDS_CHUNK).alias("at"))
+        ends.groupBy("chunk").applyInArrow(join_ends, "written long").write.format("noop").mode("overwrite").save()
+        rows, size = placed.agg(F.count("*"), F.coalesce(F.max(F.col("__low") + F.col("__n")), F.lit(0))).first()
+        plain = {"zarr_format": 2, "compressor": None, "fill_value": 0, "order": "C", "filters": None}
         meta = {".zgroup": {"zarr_format": 2}, ".zattrs": dict(self.attrs)}
         for path, x in shapes.items():
-            meta[f"{path}/.zarray"] = {"zarr_format": 2, "shape": [size, *x.shape[1:]], "chunks": [1, *x.shape[1:]], "dtype": x.dtype.str, "compressor": None, "fill_value": 0, "order": "C", "filters": None}
-        meta[f"{self.ends_path}/.zarray"] = {"zarr_format": 2, "shape": [len(ends)], "chunks": [max(1, len(ends))], "dtype": "<i8", "compressor": None, "fill_value": 0, "order": "C", "filters": None}
-        _put(self.output, {k: json.dumps(v).encode() for k, v in meta.items()} | {f"{self.ends_path}/0": np.array(ends or [0], "<i8").tobytes()})
-        return {"rows": len(ends), "output": self.output}
+            meta[f"{path}/.zarray"] = {**plain, "shape": [size, *x.shape[1:]], "chunks": [steps[path], *x.shape[1:]], "dtype": x.dtype.str}
+        meta[f"{ends_path}/.zarray"] = {**plain, "shape": [rows], "chunks": [ENDS_CHUNK], "dtype": "<i8"}
+        _put(output, {k: json.dumps(v).encode() for k, v in meta.items()})
+        return {"rows": rows, "output": output}
 
 
 @dataclass(frozen=True)

@@ -24,6 +24,40 @@ def test_generate_text(spark):
         I.generate_text(ask, None, max_concurrent_requests=0)
 
 
+def test_wanted_structure():
+    sent = []
+
+    def reply(path, payload):
+        sent.append(payload.get("response_format"))
+        return {"choices": [{"message": {"content": '{"label": "cut"}'}}]}
+
+    async def label(row, request):
+        return (await request(messages="x"))["label"]
+
+    schema = {"title": "Label", "type": "object", "properties": {"label": {"type": "string"}}}
+    assert asyncio.run(I.generate_text(label, I.FakeEndpoint(reply), output_schema=schema)(Row({}))) == "cut"
+    assert sent == [{"type": "json_schema", "json_schema": {"name": "Label", "schema": schema, "strict": True}}]
+
+
+def test_subtask_labeling():
+    asked = []
+
+    def reply(path, payload):
+        asked.append(payload["messages"])
+        if payload["messages"] == "2":
+            raise I.RequestError(400, "blocked")
+        return {"choices": [{"message": {"content": '{"label": "%s"}' % {"0": "  Pick\\n the CUP", "1": " "}[payload["messages"]]}}]}
+
+    given = [{"start": 0.0, "end": 1.0, "label": "a"}, {"start": 1.0, "end": 2.0, "label": "B"}, {"start": 2.0, "end": 3.0, "label": None}]
+    run = I.subtask_labeling(I.FakeEndpoint(reply), lambda row, before, own, after: str(int(own["start"])))
+    got = asyncio.run(run(Row({"segments": given})))
+    assert [x["label"] for x in got["labeled_segments"]] == ["pick the cup", "B", None] and asked == ["0", "1", "2"]
+    with pytest.raises(I.RequestError):
+        asyncio.run(I.subtask_labeling(I.FakeEndpoint(reply), lambda row, before, own, after: "2", when_blocked="raise")(Row({"segments": given})))
+    with pytest.raises(ValueError):
+        I.subtask_labeling(None, None, when_blocked="skip")
+
+
 @pytest.mark.parametrize("status, again", [(408, True), (409, True), (429, True), (500, True), (503, True), (400, False), (404, False), (None, True)])
 def test_retries(status, again):
     tries, waits = [], []

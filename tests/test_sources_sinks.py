@@ -154,6 +154,12 @@ def test_array_store_round_trip(spark, tmp_path):
     assert Store(str(tmp_path / "z")).array("meta/episode_ends").read().tolist() == [2, 5]
     rows = S.read_zarr(spark, str(tmp_path / "z"), {"action": "data/action"}, {"task": "task"}, row_ends="meta/episode_ends").materialize()
     assert [(r["action"], r["task"]) for r in sorted(rows, key=lambda r: r["row_index"])] == [([[1.0], [2.0]], "pick"), ([[3.0], [4.0], [5.0]], "pick")]
+    rows = [(k, [[float(10 * k + i)] * 2 for i in range(k % 4)]) for k in range(25)]  # rows cross chunks of three entries, and some have none
+    ZarrSink(str(tmp_path / "c"), {"x": "x"}, order="k", chunk_bytes=48).write(spark.createDataFrame(rows[::-1], "k int, x array<array<double>>").repartition(5))
+    assert len(list((tmp_path / "c" / "x").glob("*.0"))) == 12
+    back = S.read_zarr(spark, str(tmp_path / "c"), {"x": "x"}, row_ends="meta/episode_ends", dtypes={"x": "array<array<double>>", "row_index": "int64"})
+    assert [r["x"] for r in sorted(back, key=lambda r: r["row_index"])] == [x for _, x in rows]
+    assert ZarrSink(str(tmp_path / "e"), {"x": "x"}).write(spark.createDataFrame([], "x array<double>"))["rows"] == 0
     assert len(S.read_zarr(spark, str(tmp_path / "z"), {"a": "data/action"}, split_leading_axis=True, leading_axis_row_size=2).materialize()) == 3
     with pytest.raises(ValueError):
         ZarrSink(str(tmp_path / "y"), {"a": "action", "b": "other"}).write(spark.createDataFrame([([[1.0]], [1.0, 2.0])], "action array<array<double>>, other array<double>"))
