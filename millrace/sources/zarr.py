@@ -6,6 +6,7 @@ import gzip
 import itertools
 import json
 import math
+import zipfile
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
@@ -21,15 +22,22 @@ from millrace.functions.types import field
 from millrace.plans.dataset import Dataset
 from millrace.plans.steps import infer, plain
 from millrace.plans.row import Row
+from millrace.sources.blobs import BATCH_ROWS
+
+#: Bytes of the arrays that a task reads at a time.
+BLOCK_BYTES = 32 << 20
 
 
 class Store:
-    """A group on a file system."""
+    """A group on a file system, or in a zip file there."""
 
     def __init__(self, root: str):
         self.fs, self.root = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root.rstrip("/"))
+        self.zip = zipfile.ZipFile(self.fs.open_input_file(self.root)) if self.root.endswith(".zip") else None
 
     def read(self, key: str) -> bytes | None:
+        if self.zip:
+            return self.zip.read(key) if key in self.zip.NameToInfo else None
         try:
             with self.fs.open_input_file(f"{self.root}/{key}") as f:
                 return f.read()
@@ -53,8 +61,21 @@ class Array:
             raise ValueError(f"{path}: only C order without filters is supported")
         self.store, self.path, self.meta = store, path, meta
         self.shape, self.chunks, self.dtype = tuple(meta["shape"]), tuple(meta["chunks"]), np.dtype(meta["dtype"])
+        self._held: dict[tuple[int, ...], np.ndarray] = {}
+
+    @property
+    def bytes(self) -> int:
+        return math.prod(self.shape) * self.dtype.itemsize
 
     def _chunk(self, at: tuple[int, ...]) -> np.ndarray:
+        """A chunk; those that begin like the last one along the first axis are kept for the rows that follow."""
+        if at not in self._held:
+            if self._held and next(iter(self._held))[:1] != at[:1]:
+                self._held.clear()
+            self._held[at] = self._read(at)
+        return self._held[at]
+
+    def _read(self, at: tuple[int, ...]) -> np.ndarray:
         raw = self.store.read(f"{self.path}/{self.meta.get('dimension_separator', '.').join(map(str, at)) or '0'}")
         if raw is None:
             return np.full(self.chunks, self.meta.get("fill_value") or 0, self.dtype)
@@ -94,7 +115,9 @@ def read_zarr(spark: SparkSession, inputs: str | Sequence[str], arrays: Mapping[
 
     By default a store is one row. With ``row_ends`` the named array of cumulative ends cuts the
     first axis; with ``split_leading_axis`` every ``leading_axis_row_size`` entries are a row. Ends
-    must not fall and must end with the arrays' length; arrays must be of one length.
+    must not fall and must end with the arrays' length; arrays must be of one length. The driver
+    reads sizes, the last end and the first row; tasks read rows in blocks of ``BLOCK_BYTES`` of the arrays,
+    and their ends, so that a falling end is an error of its task.
     """
     if row_ends and split_leading_axis:
         raise ValueError("row_ends and split_leading_axis exclude each other")
@@ -104,35 +127,52 @@ def read_zarr(spark: SparkSession, inputs: str | Sequence[str], arrays: Mapping[
     for root in [inputs] if isinstance(inputs, str) else inputs:
         store = Store(root)
         if not row_ends and not split_leading_axis:
-            plan.append((root, 0, 0, -1))
+            plan.append((root, 0, 1))
             continue
-        sizes = {store.array(p).shape[0] for p in arrays.values()}
+        held = [store.array(p) for p in arrays.values()]
+        sizes = {a.shape[0] for a in held}
         if len(sizes) != 1:
             raise ValueError(f"{root}: arrays of several lengths {sorted(sizes)}")
         (size,) = sizes
-        ends = store.array(row_ends).read().tolist() if row_ends else [*range(leading_axis_row_size, size, leading_axis_row_size), *([size] if size else [])]
-        if any(b < a for a, b in itertools.pairwise([0, *ends])) or (ends or [0])[-1] != size:
-            raise ValueError(f"{root}: ends do not rise to {size}")
-        plan += [(root, i, a, b) for i, (a, b) in enumerate(itertools.pairwise([0, *ends]))]
+        n = -(-size // leading_axis_row_size)
+        if row_ends:
+            ends = store.array(row_ends)
+            n = ends.shape[0]
+            if (int(ends.read(n - 1, n)[0]) if n else 0) != size:
+                raise ValueError(f"{root}: ends do not rise to {size}")
+        step = min(BATCH_ROWS, max(1, n * BLOCK_BYTES // max(1, sum(a.bytes for a in held))))
+        plan += [(root, i, min(i + step, n)) for i in range(0, n, step)]
+
+    def bounds(store: Store, first: int, last: int, size: int) -> list[int]:
+        """Where the rows ``first`` to ``last`` begin, and where the last one ends."""
+        if not row_ends:
+            return [min(i * leading_axis_row_size, size) for i in range(first, last + 1)]
+        ends = store.array(row_ends)
+        out = [*(ends.read(first - 1, first).tolist() if first else [0]), *ends.read(first, last).tolist()]
+        if any(b < a for a, b in itertools.pairwise(out)):
+            raise ValueError(f"{store.root}: ends do not rise to {size}")
+        return out
 
-    def row(root: str, i: int, low: int, high: int) -> dict:
+    def rows(root: str, first: int, last: int) -> Iterator[dict]:
         store = Store(root)
-        out = {c: store.array(p).read(low, None if high < 0 else high) for c, p in arrays.items()}
-        known = store.attrs()
-        for c, key in (attrs or {}).items():
+        held, known = {c: store.array(p) for c, p in arrays.items()}, store.attrs()
+        for key in (attrs or {}).values():
             if key not in known:
                 raise KeyError(f"{root}: attribute {key}")
-            out[c] = known[key]
-        return plain({**out, **({index_column: i} if index_column else {}), "file_path": root})
+        cut = row_ends or split_leading_axis
+        places = bounds(store, first, last, next(iter(held.values())).shape[0]) if cut else [0, None]
+        for i, (low, high) in enumerate(itertools.pairwise(places), first):
+            out = {c: a.read(low, high) for c, a in held.items()} | {c: known[k] for c, k in (attrs or {}).items()}
+            yield plain({**out, **({index_column: i} if index_column else {}), "file_path": root})
 
-    schema = T.StructType([field(n, t) for n, t in dtypes.items()]) if dtypes else infer([Row(row(*p)) for p in plan[:1]], T.StructType([]))
+    schema = T.StructType([field(n, t) for n, t in dtypes.items()]) if dtypes else infer([Row(x) for root, first, _ in plan[:1] for x in rows(root, first, first + 1)], T.StructType([]))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.to_pylist():
-                made = row(p["root"], p["i"], p["low"], p["high"])
-                yield pa.RecordBatch.from_pylist([{n: made.get(n) for n in schema.names}], schema=arrow)
+                made = [{n: x.get(n) for n in schema.names} for x in rows(p["root"], p["first"], p["last"])]
+                yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
-    df = spark.createDataFrame(plan, "root string, i long, low long, high long")
-    return Dataset(df.repartition(min(max(1, len(plan)), 256)).mapInArrow(run, schema), (("read_zarr", None),))
+    df = spark.createDataFrame(plan, "root string, first long, last long")
+    return Dataset(df.repartition(min(max(1, len(plan)), 2000)).mapInArrow(run, schema), (("read_zarr", None),))

@@ -2,6 +2,7 @@ import gzip
 import io
 import json
 import struct
+import zipfile
 import zlib
 
 import numpy as np
@@ -159,6 +160,14 @@ def test_array_store_round_trip(spark, tmp_path):
     assert len(list((tmp_path / "c" / "x").glob("*.0"))) == 12
     back = S.read_zarr(spark, str(tmp_path / "c"), {"x": "x"}, row_ends="meta/episode_ends", dtypes={"x": "array<array<double>>", "row_index": "int64"})
     assert [r["x"] for r in sorted(back, key=lambda r: r["row_index"])] == [x for _, x in rows]
+    with zipfile.ZipFile(tmp_path / "c.zarr.zip", "w") as z:
+        for f in (tmp_path / "c").rglob("*"):
+            z.write(f, f.relative_to(tmp_path / "c"))
+    packed = S.read_zarr(spark, str(tmp_path / "c.zarr.zip"), {"x": "x"}, row_ends="meta/episode_ends", dtypes={"x": "array<array<double>>"})
+    assert sorted(repr(r["x"]) for r in packed) == sorted(repr(x) for _, x in rows)
+    (tmp_path / "c" / "meta" / "episode_ends" / "0").write_bytes(np.array([5, 3, *[25] * 22, 36, *[0] * (65536 - 25)], "<i8").tobytes())
+    with pytest.raises(Exception, match="do not rise"):
+        S.read_zarr(spark, str(tmp_path / "c"), {"x": "x"}, row_ends="meta/episode_ends", dtypes={"x": "array<array<double>>"}).materialize()
     assert ZarrSink(str(tmp_path / "e"), {"x": "x"}).write(spark.createDataFrame([], "x array<double>"))["rows"] == 0
     assert len(S.read_zarr(spark, str(tmp_path / "z"), {"a": "data/action"}, split_leading_axis=True, leading_axis_row_size=2).materialize()) == 3
     with pytest.raises(ValueError):
