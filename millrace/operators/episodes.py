@@ -182,15 +182,16 @@ def merge_tasks(tasks: DataFrame, source: str, text: str, index: str) -> tuple[D
     """The merged dictionary (text, index), and the numbers to change: (source, index, new).
 
     The first source keeps its numbers; texts of later ones reuse a number or get the next
-    ones, by source and old number. Dictionaries hold a row a distinct task.
+    ones, by source and old number, both whole numbers.
     """
     order = F.struct(source, index)
     first = tasks.groupBy(text).agg(F.min(order).alias("__o"))
     low = tasks.agg(F.min(source).alias("__low"))
     placed = first.crossJoin(F.broadcast(low)).withColumn("__own", F.col(f"__o.{source}") == F.col("__low"))
     top = placed.filter("__own").agg(F.coalesce(F.max(f"__o.{index}"), F.lit(-1)).alias("__top"))
-    nth = F.row_number().over(Window.partitionBy("__own").orderBy("__o"))
-    merged = placed.crossJoin(F.broadcast(top)).select(text, F.when(F.col("__own"), F.col(f"__o.{index}")).otherwise(F.col("__top") + nth).cast("bigint").alias(index))
+    at = F.col(f"__o.{source}").cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + F.col(f"__o.{index}")
+    later = global_index(placed.filter("NOT __own").withColumn("__at", at), "__at", "__nth").crossJoin(F.broadcast(top))
+    merged = placed.filter("__own").select(text, F.col(f"__o.{index}").cast("bigint").alias(index)).unionByName(later.select(text, (F.col("__top") + 1 + F.col("__nth")).cast("bigint").alias(index)))
     remap = tasks.join(merged.withColumnRenamed(index, "new"), text).filter(F.col(index) != F.col("new")).select(source, index, "new")
     return merged, remap
 
