@@ -97,6 +97,15 @@ def test_archives(spark, tmp_path):
     assert got["url"] == "http://a" and bytes(got["content"]) == b"<p>"
 
 
+def test_stores_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(warc("response", "http://a", b"HTTP/1.1 200 OK\r\n\r\nx")))
+    (tmp_path / "l.mcap").write_bytes(log([("/a", 0, {"q": 1}), ("/a", 1, {"q": 2})]))
+    monkeypatch.setattr("millrace.sources.blobs.OPENED", ())
+    (row,) = S.read_commoncrawl(spark, str(tmp_path / "x.warc.gz"))
+    assert row["url"] == "http://a" and bytes(row["content"]) == b"x"
+    assert mcap.read_messages(spark, str(tmp_path / "l.mcap")).count() == 2
+
+
 def test_archives_of_dumps(spark, tmp_path):
     def put(dump, segment, name, url):
         folder = tmp_path / "crawl data" / "crawl-data" / dump / "segments" / segment / "warc"
